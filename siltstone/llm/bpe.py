@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept between batches in each Python worker; the table is emptied when it is full.
-CACHE_WORDS = 300_000
-_NEVER = np.int64(1) << 40
+CACHE_WORDS = 200_000
+#: Longer words are merged with a heap.
+SHORT = 48
+_NEVER = 1 << 60
+_ID = (1 << 24) - 1
 
 
 def _byte_chars() -> dict[str, int]:
@@ -55,31 +59,41 @@ class Bpe:
             self.token_bytes[k] = raw
         for token, k in self.special.items():
             self.token_bytes[k] = token.encode()
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # of a pair: the rank, then 24 bits of the new id
         self.left = np.full(self.size, -1, np.int64)
         self.right = np.full(self.size, -1, np.int64)
         self.rank = np.full(self.size, -1, np.int64)
         for r, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.merges[x * self.size + y] = (r, z)
+            self.merges[x * self.size + y] = r << 24 | z
             self.left[z], self.right[z], self.rank[z] = x, y, r
         keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        self.pair_rank = np.fromiter((r for r, _ in self.merges.values()), np.int64, len(keys))[order]
+        self.pair_rank = np.fromiter(self.merges.values(), np.int64, len(keys))[order] >> 24
         self.base_mid = np.array([self.mid[bytes([b])] for b in range(256)])
         self.base_end = np.array([self.end[bytes([b])] for b in range(256)])
-        self.lengths = {True: self._lengths(self.end), False: self._lengths(self.mid)}
+        self._grow_trie()
         self._mark_reachable()
         self.forget()
 
-    @staticmethod
-    def _lengths(table: dict[bytes, int]) -> dict[bytes, list[int]]:
-        out: dict[bytes, set[int]] = {}
-        for raw in table:
-            out.setdefault(raw[:2], set()).add(len(raw))
-        return {k: sorted(v, reverse=True) for k, v in out.items()}
+    def _grow_trie(self) -> None:
+        """Prefixes of the entries: `child[node, byte]`, -1 for none; nodes from `inner` on have no children."""
+        raws = [*self.mid, *self.end]
+        stems = {raw[:k] for raw in raws for k in range(len(raw))}
+        node = {p: k for k, p in enumerate(stems)}
+        self.inner, self.root = len(stems), node[b""]
+        for raw in raws:
+            node.setdefault(raw, len(node))
+        self.child = np.full((self.inner, 256), -1, np.int32)
+        for p, k in node.items():
+            if p:
+                self.child[node[p[:-1]], p[-1]] = k
+        self.at_mid, self.at_end = np.full(len(node), -1, np.int32), np.full(len(node), -1, np.int32)
+        for table, to in ((self.mid, self.at_mid), (self.end, self.at_end)):
+            for raw, k in table.items():
+                to[node[raw]] = k
 
     def _mark_reachable(self) -> None:
         """A token can be produced if its two parts can, and the border between them stays open until its merge."""
@@ -119,24 +133,31 @@ class Bpe:
             y[live] = np.where(of_left, y[live], self.left[y[live]])
         return good
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, n = [], 0, len(word)
-        while at < n:
-            head, rest = word[at : at + 2], n - at
-            found = None
-            if (last := self.end.get(word[at:]) if rest <= 256 else None) is not None:
-                found, step = last, rest
-            else:
-                for size in self.lengths[False].get(head, ()):
-                    if (size < rest or (size == rest and not self.suffix)) and (k := self.mid.get(word[at : at + size])) is not None:
-                        found, step = k, size
-                        break
-                if found is None:
-                    found, step = (int(self.base_end[word[at]]) if rest == 1 else int(self.base_mid[word[at]])), 1
-            out.append(found)
-            at += step
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once: flat ids by word, and how many each has."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
+        at, live = ends - sizes, np.flatnonzero(sizes > 0)
+        of, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        while len(live):
+            first, rest = at[live], ends[live] - at[live]
+            node = np.full(len(live), self.root, np.int32)
+            best, step, act, depth = np.full(len(live), -1, np.int32), np.zeros(len(live), np.int64), np.arange(len(live)), 0
+            while len(act):
+                to = self.child[node[act], raw[first[act] + depth]]
+                act, to, depth = act[to >= 0], to[to >= 0], depth + 1
+                node[act] = to
+                last = rest[act] == depth
+                found = np.where(last, self.at_end[to], self.at_mid[to])
+                hit = act[found >= 0]
+                best[hit], step[hit] = found[found >= 0], depth
+                act = act[~last & (to < self.inner)]
+            of.append(live)
+            ids.append(best)
+            at[live] += step
+            live = live[step < rest]
+        of = np.concatenate(of)
+        return np.concatenate(ids)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: lowest rank first, then furthest left."""
@@ -144,41 +165,57 @@ class Bpe:
         if not ids:
             return []
         ids[-1] = int(self.base_end[word[-1]])
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        get, size = self.merges.get, self.size
+        best = [get(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while best and (m := min(best)) != _NEVER:
+            k = best.index(m)
+            ids[k] = z = m & _ID
+            del ids[k + 1], best[k]
+            if k:
+                best[k - 1] = get(ids[k - 1] * size + z, _NEVER)
+            if k < len(best):
+                best[k] = get(z * size + ids[k + 1], _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of pairs; pairs that are gone are passed over."""
         merges, size, n = self.merges, self.size, len(ids)
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(*m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merges.get(ids[k] * size + ids[k + 1]))]
-        heap = [(r, k, z, p, q) for r, z, k, p, q in heap]
+        heap = [(m, k, ids[k], ids[k + 1]) for k in range(n - 1) if (m := merges.get(ids[k] * size + ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, k, z, p, q = heapq.heappop(heap)
+            m, k, p, q = heapq.heappop(heap)
             j = after[k]
             if ids[k] != p or j < 0 or ids[j] != q:
                 continue
+            z = m & _ID
             ids[k], ids[j] = z, -1
             after[k] = after[j]
             if after[j] >= 0:
                 before[after[j]] = k
-                if m := merges.get(z * size + ids[after[j]]):
-                    heapq.heappush(heap, (m[0], k, m[1], z, ids[after[j]]))
-            if (i := before[k]) >= 0 and (m := merges.get(ids[i] * size + z)):
-                heapq.heappush(heap, (m[0], i, m[1], ids[i], z))
+                if (m := merges.get(z * size + ids[after[j]])) is not None:
+                    heapq.heappush(heap, (m, k, z, ids[after[j]]))
+            if (i := before[k]) >= 0 and (m := merges.get(ids[i] * size + z)) is not None:
+                heapq.heappush(heap, (m, i, ids[i], z))
         return [t for t in ids if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> tuple[list[list[int]], int]:
-        """Ids of each word, and how many of the proposals failed."""
-        proposed = [self.propose(w) for w in words]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(sizes.sum()))
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Ids of the words in one array, where each word's begin, how many they are, and how many proposals failed."""
+        flat, sizes = self.propose(words)
         of = np.repeat(np.arange(len(words)), sizes)
         bad = ~self.reachable[flat]
         if len(flat) > 1:
             inner = of[1:] == of[:-1]
-            keys, back = np.unique(flat[:-1][inner] * self.size + flat[1:][inner], return_inverse=True)
+            keys, back = np.unique(flat[:-1][inner].astype(np.int64) * self.size + flat[1:][inner], return_inverse=True)
             bad[1:][inner] |= ~self.compatible(keys // self.size, keys % self.size)[back]
         failed = np.unique(of[bad])
-        for k in failed.tolist():
-            proposed[k] = self.merge(words[k])
-        return proposed, len(failed)
+        starts = np.cumsum(sizes) - sizes
+        merged = [self.merge(words[k]) for k in failed.tolist()]
+        sizes[failed] = np.fromiter(map(len, merged), np.int64, len(merged))
+        starts[failed] = len(flat) + np.cumsum(sizes[failed]) - sizes[failed]
+        return np.concatenate([flat, np.fromiter(chain.from_iterable(merged), np.int32, int(sizes[failed].sum()))]), starts, sizes, len(failed)
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -195,30 +232,31 @@ class Bpe:
             new = [w for w in set(words) if w not in self.known]
         if not new:
             return
-        coded, _ = self.encode_words([w.encode() for w in new])
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids, starts, sizes, _ = self.encode_words([w.encode() for w in new])
         first = len(self.known)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.fromiter((t for c in coded for t in c), np.int32, int(sizes.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
     def encode_split(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of documents given as words, and how many each has."""
         counts = np.fromiter(map(len, docs), np.int64, len(docs))
-        self.learn([w for d in docs for w in d])
-        get = self.known.__getitem__
-        at = np.fromiter((get(w) for d in docs for w in d), np.int64, int(counts.sum()))
+        words = list(chain.from_iterable(docs))
+        self.learn(words)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[at]
-        total = int(sizes.sum())
         ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)]
+        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         upto = np.concatenate([[0], ends])[bounds]
         return flat, np.diff(upto)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.token_bytes[k] for k in ids if 0 <= k < self.size]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of the ids; ids that the vocabulary hasn't give nothing, malformed bytes the replacement character."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 class ByteLevel(Bpe):
@@ -290,7 +328,7 @@ def load(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about so many bytes of the column (one row at least)."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -313,20 +351,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", kind: type = ByteLevel) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", kind: type = ByteLevel, decoded: str | None = None) -> DataFrame:
     """Adds the ids of the whole text as an array of int; null and empty texts have none.
 
-    A column of the name `out` in the input is replaced; all others are carried.
+    decoded: if given, also adds under this name what `decode` makes of the ids, in the same Python process.
+    Columns of these names in the input are replaced; all others are carried.
     """
-    df = df.drop(out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+    df = df.drop(out, *[decoded] * bool(decoded))
+    more = [T.StructField(decoded, T.StringType(), False)] if decoded else []
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(kind, path)
         for b in slices(batches, text):
             flat, sizes = bpe.encode(b.column(text).to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            columns = [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+            if decoded:
+                columns.append(pa.array([bpe.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -343,9 +386,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kin
         bpe = load(kind, path)
         for b in batches:
             lists = b.column(ids)
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            holes = lists.is_valid().to_pylist()
-            text = [bpe.decode(values[ends[k] : ends[k + 1]].tolist()) if holes[k] else "" for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out])
+            texts = [bpe.decode(np.array(x.values.fill_null(-1)) if x.is_valid else np.zeros(0, np.int64)) for x in lists]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)

@@ -28,8 +28,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document, and back."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, path).drop("text")
-    return bpe.decode(coded, path).select(
+    return bpe.encode(docs, path, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
