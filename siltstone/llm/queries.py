@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, simhash
+from siltstone.llm import bpe, html, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents by 64-bit SimHash within 4 bits."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of the responses that the pages were."""
+    made = warc.derivatives(warc.responses(read(spark, sf_dir, "pages"), key="page_id"))
+    return made.select(
+        F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "source_headers",
+        F.octet_length("block").cast("long").alias("content_length"), F.sha2(warc.serialised(made), 256).alias("record_sha256"),
+    )
