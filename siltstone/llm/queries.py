@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, html, simhash, warc
+from siltstone.llm import bpe, durable, html, rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "source_headers",
         F.octet_length("block").cast("long").alias("content_length"), F.sha2(warc.serialised(made), 256).alias("record_sha256"),
     )
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and limits, and robust outliers, of every document."""
+    stats = rules.statistics(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
+    judged = rules.judge(durable.written(stats, "counts"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance")
