@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, durable, html, rules, simhash, warc
+from siltstone.llm import bpe, durable, html, quality, rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = rules.statistics(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("text")
     judged = rules.judge(durable.written(stats, "counts"))
     return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "distance")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the votes of its labelled neighbours."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.scores(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -81,7 +81,7 @@ def test_estimate_of_clean_rows_is_consistent(spark):
 
 def test_frames(spark):
     """Nulls everywhere, tiny groups, clashing columns, no rows."""
-    text = " ".join(f"word{k} and so on" for k in range(30))
+    text = " ".join(f"word{k} and so{k} on{k}" for k in range(30))
     rows = [(k, text + f" n{k}", None if k % 2 else "en", None, "x", 1) for k in range(8)] + [(None, None, None, None, None, None), (99, "#%& " * 80 + text, "en", None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, n_words int")
     got = rules.judge(rules.statistics(df)).collect()
