@@ -232,25 +232,24 @@ class Bpe:
             new = [w for w in set(words) if w not in self.known]
         if not new:
             return
-        ids, starts, sizes, _ = self.encode_words([w.encode() for w in new])
+        ids, starts, sizes = self.code(new)
         first = len(self.known)
         self.starts = np.concatenate([self.starts, len(self.ids) + starts])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, ids])
         self.known.update(zip(new, range(first, first + len(new)), strict=True))
 
+    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words in one array, where each word's begin and how many they are."""
+        return self.encode_words([w.encode() for w in words])[:3]
+
     def encode_split(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of documents given as words, and how many each has."""
-        counts = np.fromiter(map(len, docs), np.int64, len(docs))
         words = list(chain.from_iterable(docs))
         self.learn(words)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.concatenate([[0], ends])[bounds]
-        return flat, np.diff(upto)
+        flat, ends = _gather(self.ids, self.starts, self.sizes, at)
+        return flat, np.diff(ends[np.cumsum([0, *map(len, docs)])])
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; ids that the vocabulary hasn't give nothing, malformed bytes the replacement character."""
@@ -259,6 +258,13 @@ class Bpe:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, one after the other, and the bounds between them."""
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class ByteLevel(Bpe):
     """Byte-level vocabulary that keeps every byte; special strings in a text become their own ids."""
 
@@ -292,8 +298,9 @@ class WordLevel(Bpe):
 
     #: The vocabulary's split pattern.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    #: Text of these characters is normalised here; any other text goes through the library itself.
-    PLAIN = regex.compile("[\\x09-\\x0d\\x20-\\x7e\\u00a1-\\u012f\\u0132-\\u017f\\u2010-\\u2027\\u20ac]*")
+    #: Texts of these characters need no composing, lower-case one by one, and have no other white space than ASCII's;
+    #: any other text goes through the library itself.
+    PLAIN = ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x132, 0x17F), (0x2010, 0x2027), (0x20AC, 0x20AC))
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -302,12 +309,25 @@ class WordLevel(Bpe):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.odd = np.ones(65536, bool)
+        for a, b in self.PLAIN:
+            self.odd[a : b + 1] = False
+
+    def plain(self, text: str) -> bool:
+        return not (self.odd[np.frombuffer(text.encode("utf-16-le"), np.uint16)].any() or any(s in text for s in self.special))
+
+    def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words here are what white space parts; each is split further by the pattern."""
+        split = list(map(self.WORDS.findall, words))
+        number: dict[str, int] = {}
+        at = np.array([number.setdefault(w, len(number)) for w in chain.from_iterable(split)], np.int64)
+        flat, ends = _gather(*self.encode_words([w.encode() for w in number])[:3], at)
+        bounds = ends[np.cumsum([0, *map(len, split)])]
+        return flat, bounds[:-1], np.diff(bounds)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        find, special = self.WORDS.findall, [*self.special]
-        plain = [not t or (self.PLAIN.fullmatch(t) is not None and not any(s in t for s in special)) for t in texts]
-        docs = [find(t.lower()) if t and p else [] for t, p in zip(texts, plain, strict=True)]
-        flat, sizes = self.encode_split(docs)
+        plain = [True] * len(texts) if self.plain("".join(t for t in texts if t)) else [not t or self.plain(t) for t in texts]
+        flat, sizes = self.encode_split([t.lower().split() if t and p else [] for t, p in zip(texts, plain, strict=True)])
         if all(plain):
             return flat, sizes
         upto, out = np.concatenate([[0], np.cumsum(sizes)]), []
