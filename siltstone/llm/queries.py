@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, durable, html, packing, quality, rules, simhash, warc
+from siltstone.llm import bpe, durable, html, packing, quality, rules, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in as few sequences of 4096 tokens as best fit finds."""
     cut = packing.pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of one label by cosine 0.93."""
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
