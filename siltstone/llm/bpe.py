@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept between batches in each Python worker; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Longer words are merged with a heap.
 SHORT = 48
 _NEVER = 1 << 60
@@ -218,26 +218,7 @@ class Bpe:
         return np.concatenate([flat, np.fromiter(chain.from_iterable(merged), np.int32, int(sizes[failed].sum()))]), starts, sizes, len(failed)
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Make sure that all of the words are in the table."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-            new = list(set(words))
-        else:
-            new = [w for w in set(words) if w not in self.known]
-        if not new:
-            return
-        ids, starts, sizes = self.code(new)
-        first = len(self.known)
-        self.starts = np.concatenate([self.starts, len(self.ids) + starts])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, ids])
-        self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        self.known = Runs()
 
     def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of words in one array, where each word's begin and how many they are."""
@@ -245,10 +226,9 @@ class Bpe:
 
     def encode_split(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of documents given as words, and how many each has."""
-        words = list(chain.from_iterable(docs))
-        self.learn(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        flat, ends = _gather(self.ids, self.starts, self.sizes, at)
+        if len(self.known.numbers) > CACHE_WORDS:
+            self.forget()
+        flat, ends = self.known.look_up(list(chain.from_iterable(docs)), self.code)
         return flat, np.diff(ends[np.cumsum([0, *map(len, docs)])])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -258,11 +238,37 @@ class Bpe:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of ids, one after the other, and the bounds between them."""
-    n = sizes[at]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    return ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+class _Numbers(dict):
+    """Numbers strings as they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
+
+
+class Runs:
+    """Strings with the ids they are coded to."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def look_up(self, words: list[str], code: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after the other, and the bounds between them. code: gives ids, starts and sizes of new words."""
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        if self.numbers.new:
+            ids, starts, sizes = code(self.numbers.new)
+            self.numbers.new = []
+            self.starts = np.concatenate([self.starts, len(self.ids) + starts])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        n = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[np.repeat(self.starts[at] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class ByteLevel(Bpe):
@@ -316,12 +322,17 @@ class WordLevel(Bpe):
     def plain(self, text: str) -> bool:
         return not (self.odd[np.frombuffer(text.encode("utf-16-le"), np.uint16)].any() or any(s in text for s in self.special))
 
+    def forget(self) -> None:
+        super().forget()
+        self.parts = Runs()
+
     def code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words here are what white space parts; each is split further by the pattern."""
-        split = list(map(self.WORDS.findall, words))
-        number: dict[str, int] = {}
-        at = np.array([number.setdefault(w, len(number)) for w in chain.from_iterable(split)], np.int64)
-        flat, ends = _gather(*self.encode_words([w.encode() for w in number])[:3], at)
+        find = self.WORDS.findall
+        split = [[w] if w.isalpha() else find(w) for w in words]
+        if len(self.parts.numbers) > CACHE_WORDS:
+            self.parts = Runs()
+        flat, ends = self.parts.look_up(list(chain.from_iterable(split)), super().code)
         bounds = ends[np.cumsum([0, *map(len, split)])]
         return flat, bounds[:-1], np.diff(bounds)
 
@@ -348,7 +359,7 @@ def load(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about so many bytes of the column (one row at least)."""
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
