@@ -72,6 +72,7 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_rank = np.fromiter(self.merges.values(), np.int64, len(keys))[order] >> 24
+        self._hash_pairs(keys)
         self.base_mid = np.array([self.mid[bytes([b])] for b in range(256)])
         self.base_end = np.array([self.end[bytes([b])] for b in range(256)])
         self._grow_trie()
@@ -95,6 +96,39 @@ class Bpe:
             for raw, k in table.items():
                 to[node[raw]] = k
 
+    def _hash_pairs(self, keys: np.ndarray) -> None:
+        """Open addressing over the pairs, so that many are looked up at once."""
+        self.bits = max(4, int(len(keys)).bit_length() + 3)
+        self.slot_key, self.slot_value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NEVER, np.int64)
+        values, slot = np.fromiter(self.merges.values(), np.int64, len(keys)), self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.slot_key[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.slot_key[slot[put]], self.slot_value[slot[put]] = keys[put], values[put]
+            left = left[self.slot_key[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and new id of each pair, as in `merges`; _NEVER for none."""
+        key = a.astype(np.int64) * self.size + b
+        slot = self._slot(key)
+        held, out = self.slot_key[slot], self.slot_value[slot]
+        odd = np.nonzero((held != key) & (held >= 0))
+        out[held != key] = _NEVER
+        while len(odd[0]):
+            slot[odd] = (slot[odd] + 1) & ((1 << self.bits) - 1)
+            held = self.slot_key[slot[odd]]
+            hit = held == key[odd]
+            out[tuple(o[hit] for o in odd)] = self.slot_value[slot[odd]][hit]
+            more = ~hit & (held >= 0)
+            odd = tuple(o[more] for o in odd)
+        return out
+
     def _mark_reachable(self) -> None:
         """A token can be produced if its two parts can, and the border between them stays open until its merge."""
         self.reachable = np.zeros(self.size, bool)
@@ -179,6 +213,53 @@ class Bpe:
                 best[k] = get(z * size + ids[k + 1], _NEVER)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exact merging of many words, those of one length together: every round merges one pair of each.
+
+        Gives ids, where each word's begin and how many they are.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts, sizes, parts, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], 0
+
+        def finish(rows: np.ndarray, ids: np.ndarray) -> None:
+            nonlocal at
+            starts[rows], sizes[rows] = at + np.arange(len(rows)) * ids.shape[1], ids.shape[1]
+            parts.append(ids.astype(np.int32).ravel())
+            at += ids.size
+
+        for n in np.unique(lengths).tolist():
+            rows = np.flatnonzero(lengths == n)
+            if n > SHORT or len(rows) < 4 or n < 2:
+                for k in rows.tolist():
+                    finish(np.array([k]), np.array([self.merge(words[k])], np.int32))
+                continue
+            raw = np.frombuffer(b"".join([words[k] for k in rows.tolist()]), np.uint8).reshape(-1, n)
+            ids = self.base_mid[raw]
+            ids[:, -1] = self.base_end[raw[:, -1]]
+            best = self._look_up(ids[:, :-1], ids[:, 1:])
+            while True:
+                if not best.shape[1]:
+                    finish(rows, ids)
+                    break
+                k = best.argmin(axis=1)
+                found = best[np.arange(len(k)), k]
+                live = found != _NEVER
+                if not live.all():
+                    finish(rows[~live], ids[~live])
+                    rows, ids, best, k, found = rows[live], ids[live], best[live], k[live], found[live]
+                    if not len(rows):
+                        break
+                z, each, width = found & _ID, np.arange(len(k)), ids.shape[1]
+                columns = np.arange(width - 1)
+                ids = np.take_along_axis(ids, columns + (columns > k[:, None]), 1)
+                ids[each, k] = z
+                best = np.take_along_axis(best, columns[:-1] + (columns[:-1] >= k[:, None]), 1)
+                r = each[k > 0]
+                best[r, k[r] - 1] = self._look_up(ids[r, k[r] - 1], z[r])
+                r = each[k < width - 2]
+                best[r, k[r]] = self._look_up(z[r], ids[r, k[r] + 1])
+        return np.concatenate(parts), starts, sizes
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of pairs; pairs that are gone are passed over."""
         merges, size, n = self.merges, self.size, len(ids)
@@ -212,10 +293,9 @@ class Bpe:
             bad[1:][inner] |= ~self.compatible(keys // self.size, keys % self.size)[back]
         failed = np.unique(of[bad])
         starts = np.cumsum(sizes) - sizes
-        merged = [self.merge(words[k]) for k in failed.tolist()]
-        sizes[failed] = np.fromiter(map(len, merged), np.int64, len(merged))
-        starts[failed] = len(flat) + np.cumsum(sizes[failed]) - sizes[failed]
-        return np.concatenate([flat, np.fromiter(chain.from_iterable(merged), np.int32, int(sizes[failed].sum()))]), starts, sizes, len(failed)
+        merged, first, sizes[failed] = self.merge_many([words[k] for k in failed.tolist()])
+        starts[failed] = len(flat) + first
+        return np.concatenate([flat, merged]), starts, sizes, len(failed)
 
     def forget(self) -> None:
         self.known = Runs()
