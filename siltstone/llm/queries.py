@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, durable, html, packing, quality, rules, simhash, vectors, warc
+from siltstone.llm import bpe, durable, html, packing, pii, quality, rules, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings of one label by cosine 0.93."""
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written_form("base"), 256).alias("base_sha256"), pii.written_form("spans").alias("spans"))
