@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, durable, html, packing, pii, quality, rules, simhash, vectors, warc
+from siltstone.llm import bpe, durable, html, packing, pii, quality, rollup, rules, simhash, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.written_form("base"), 256).alias("base_sha256"), pii.written_form("spans").alias("spans"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by source, language and tokenizer version, after a load, the copies' deletion and a revision."""
+    versions = {"word_bpe_49k": (bpe.WordLevel, public_tokenizers.path("word_bpe_49k.json")), "words": None}
+    return rollup.maintained(read(spark, sf_dir, "documents"), durable.scratch(spark, "token-ledger"), versions).totals()

@@ -277,3 +277,16 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", thres
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = written(roots.join(least, "root").select("fp", "component_id"), "classes")
     return marked.join(by_print, "fp").select(F.col("id").alias(id), "fp", "component_id")
+
+
+def survivors(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id, with all its columns.
+
+    Rows that repeat an id are one document.  Rows without an id stay, as nothing can be said against them.
+    """
+    found = near_duplicates(docs, id, text)
+    lost = written(found.where(F.col(id) != F.col("component_id")).select(F.col(id).alias("siltstone_lost")).distinct(), "near-duplicates")
+    kept = docs.join(lost, docs[id] == lost["siltstone_lost"], "left_anti")
+    if found.groupBy(id).count().where("count > 1").limit(1).count():
+        kept = kept.where(F.col(id).isNotNull()).dropDuplicates([id]).unionByName(kept.where(F.col(id).isNull()))
+    return kept

@@ -302,7 +302,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
     cell = F.concat_ws("|", F.col("label").cast("string"), F.size("v").cast("string"))
     classes = written(equal.select(cell.alias("cell"), "v", "node", "weight").mapInArrow(flat, "cell string, v array<double>, node long, weight long, vector binary"), "classes")
     # nodes are told apart by a number of their own: ids may repeat
-    nodes = written(classes.select("cell", F.xxhash64("cell", "vector").alias("node"), "weight", "vector", F.col("node").alias("least")), "graph")
+    nodes = written(classes.select("cell", F.monotonically_increasing_id().alias("number"), "weight", "vector", F.col("node").alias("least")).withColumnRenamed("number", "node"), "graph")
     bare = nodes.select("cell", "node", "weight", "vector")
     for _ in range(3):
         found = written(links(bare, threshold, s), "links")
