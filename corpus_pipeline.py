@@ -11,6 +11,7 @@ from siltstone.llm import durable, packing, pii, quality, rules, simhash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base limits or are outliers of their language and source (null texts fail)."""
+    durable.bounded(spark)
     return rules.judge(rules.statistics(docs)).where("kept").select(docs.columns)
 
 
@@ -20,6 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The labelled rows, at most `per_class` of each label, are taken from all documents: the former stage has taken
     away much of what is labelled bad.  Without any labels nothing is rejected.
     """
+    durable.bounded(spark)
     model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not len(model.labels):
         return docs
@@ -28,11 +30,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near-duplicates."""
+    durable.bounded(spark)
     return simhash.survivors(docs).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind for each span of personal data, and counts the characters anew."""
+    durable.bounded(spark)
     spans = pii.candidates(pii.base_spans(docs.withColumn("siltstone_text", F.col("text")), "siltstone_text", "siltstone_base"), "siltstone_text", "siltstone_candidates").drop("siltstone_text")
     model = pii.fit(durable.written(spans.select("siltstone_base", "siltstone_candidates"), "candidates"), base="siltstone_base", proposed="siltstone_candidates")
     chosen = pii.select(spans, model, "siltstone_spans", "siltstone_base", "siltstone_candidates")
@@ -41,6 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4096 tokens."""
+    durable.bounded(spark)
     cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 

@@ -11,6 +11,9 @@ are processed whole; repeated rows are independent; extra columns are carried th
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept between batches in each Python worker; the table is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Longer words are merged with a heap.
 SHORT = 48
 _NEVER = 1 << 60
@@ -390,15 +393,21 @@ class WordLevel(Bpe):
 
     def __init__(self, path: str):
         super().__init__(path)
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.odd = np.ones(65536, bool)
         for a, b in self.PLAIN:
             self.odd[a : b + 1] = False
 
+    @functools.cached_property
+    def library(self):  # noqa: ANN201
+        """The library's own tokenizer, loaded when the first text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def plain(self, text: str) -> bool:
         return not (self.odd[np.frombuffer(text.encode("utf-16-le"), np.uint16)].any() or any(s in text for s in self.special))
 
@@ -439,6 +448,25 @@ def load(kind: type, path: str):
     return _LOADED[kind, path]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: idle Python workers stay, and their memory counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@contextlib.contextmanager
+def loaded(kind: type, path: str) -> Iterator[Bpe]:
+    """The vocabulary's tables for one task; the words that it has seen are forgotten after it."""
+    bpe = load(kind, path)
+    try:
+        yield bpe
+    finally:
+        bpe.forget()
+        tidy()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each has about so many bytes of the column (one row at least)."""
     for b in batches:
@@ -473,14 +501,14 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids", kind:
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(kind, path)
-        for b in slices(batches, text):
-            flat, sizes = bpe.encode(b.column(text).to_pylist())
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            columns = [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
-            if decoded:
-                columns.append(pa.array([bpe.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+        with loaded(kind, path) as bpe:
+            for b in slices(batches, text):
+                flat, sizes = bpe.encode(b.column(text).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                columns = [*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(flat[s:e]) for s, e in zip(ends, ends[1:], strict=False)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -494,10 +522,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", kin
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(kind, path)
-        for b in batches:
-            lists = b.column(ids)
-            texts = [bpe.decode(np.array(x.values.fill_null(-1)) if x.is_valid else np.zeros(0, np.int64)) for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
+        with loaded(kind, path) as bpe:
+            for b in batches:
+                lists = b.column(ids)
+                texts = [bpe.decode(np.array(x.values.fill_null(-1)) if x.is_valid else np.zeros(0, np.int64)) for x in lists]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], schema.names)
 
     return df.mapInArrow(run, schema)

@@ -26,6 +26,18 @@ def folder(spark: SparkSession) -> str:
     return own.get()
 
 
+#: Rows in one Arrow batch; texts may be long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Lets Arrow batches hold few rows, unless the session asks for even fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and read from the shared folder from now on; Spark's cleaner deletes it when it is unused."""
     folder(df.sparkSession)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import WordLevel, load, slices
+from siltstone.llm.bpe import WordLevel, loaded, slices
 from siltstone.llm.durable import written
 
 
@@ -36,22 +36,22 @@ def pieces(df: DataFrame, path: str, text: str = "text", size: int = 4096, end:
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(kind, path)
-        for b in slices(batches, text):
-            flat, sizes = bpe.encode(b.column(text).to_pylist())
-            n = np.asarray(sizes) + 1
-            ends = np.cumsum(n)
-            whole = np.insert(flat.astype("<u4"), np.cumsum(sizes), end)
-            cuts = -(-n // size)
-            row = np.repeat(np.arange(len(n)), cuts)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-            start = piece * size
-            length = np.minimum(size, n[row] - start)
-            first = ((ends - n)[row] + start) * 4
-            offsets = np.append(first, ends[-1] * 4 if len(ends) else 0).astype(np.int32)
-            ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(whole.tobytes())])
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids], schema.names)
+        with loaded(kind, path) as bpe:
+            for b in slices(batches, text):
+                flat, sizes = bpe.encode(b.column(text).to_pylist())
+                n = np.asarray(sizes) + 1
+                ends = np.cumsum(n)
+                whole = np.insert(flat.astype("<u4"), np.cumsum(sizes), end)
+                cuts = -(-n // size)
+                row = np.repeat(np.arange(len(n)), cuts)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * size
+                length = np.minimum(size, n[row] - start)
+                first = ((ends - n)[row] + start) * 4
+                offsets = np.append(first, ends[-1] * 4 if len(ends) else 0).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(whole.tobytes())])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), ids], schema.names)
 
     return df.select(*names, text).mapInArrow(run, schema)
 

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import slices
+from siltstone.llm.bpe import slices, tidy
 
 WORDS, SHAPES, PAIRS, REPEATS = 1024, 512, 1024, 16
 WIDTH = WORDS + SHAPES + PAIRS + REPEATS
 #: Weights of the four kinds of features.
 BLOCKS = np.repeat([0.5, 1.0, 1.0, 1.0], [WORDS, SHAPES, PAIRS, REPEATS])
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 
 
 
@@ -187,5 +187,7 @@ def scores(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
             texts = b.column(text).to_pylist()
             found = [voters.score(features.rows(texts[k : k + 256])) for k in range(0, len(texts), 256)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())], schema.names)
+        del features
+        tidy()
 
     return docs.mapInArrow(run, schema)

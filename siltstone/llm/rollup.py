@@ -7,6 +7,7 @@ batches into a snapshot that names them, so that reading stays cheap; its own ma
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import Bpe, load, slices
+from siltstone.llm.bpe import Bpe, loaded, slices
 from siltstone.llm.durable import written
 
 KEYS = ("source", "lang", "tokenizer")
@@ -36,15 +37,16 @@ def count_tokens(df: DataFrame, versions: dict[str, tuple[type[Bpe], str] | None
     names, first = list(versions), next(iter(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = {n: v and load(*v) for n, v in versions.items()}
-        for b in slices(batches, first):
-            maps = []
-            for c in columns:
-                texts = b.column(c).to_pylist()
-                counts = np.array([coders[n].encode(texts)[1] if coders[n] else [len((t or "").encode().split()) for t in texts] for n in names], np.int64)
-                ends = pa.array(np.arange(len(texts) + 1) * len(names), pa.int32())
-                maps.append(pa.MapArray.from_arrays(ends, pa.array(names * len(texts), pa.string()), pa.array(counts.T.ravel())))
-            yield pa.RecordBatch.from_arrays([*b.columns, *maps], schema.names)
+        with contextlib.ExitStack() as stack:
+            coders = {n: v and stack.enter_context(loaded(*v)) for n, v in versions.items()}
+            for b in slices(batches, first):
+                maps = []
+                for c in columns:
+                    texts = b.column(c).to_pylist()
+                    counts = np.array([coders[n].encode(texts)[1] if coders[n] else [len((t or "").encode().split()) for t in texts] for n in names], np.int64)
+                    ends = pa.array(np.arange(len(texts) + 1) * len(names), pa.int32())
+                    maps.append(pa.MapArray.from_arrays(ends, pa.array(names * len(texts), pa.string()), pa.array(counts.T.ravel())))
+                yield pa.RecordBatch.from_arrays([*b.columns, *maps], schema.names)
 
     return df.mapInArrow(run, schema)
 
