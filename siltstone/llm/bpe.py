@@ -41,6 +41,40 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Table:
+    """Integers by integer key (from 0), many at once: open addressing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int):
+        self.bits, self.missing = max(4, len(keys).bit_length() + 2), missing
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, missing, values.dtype)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held, out = self.keys[slot], self.values[slot]
+        other = held != keys
+        odd = np.nonzero(other & (held >= 0))
+        out[other] = self.missing
+        while len(odd[0]):
+            slot[odd] = (slot[odd] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[odd]]
+            hit = held == keys[odd]
+            out[tuple(o[hit] for o in odd)] = self.values[slot[odd]][hit]
+            more = ~hit & (held >= 0)
+            odd = tuple(o[more] for o in odd)
+        return out
+
+
 class Bpe:
     """Tables of one vocabulary file (the `tokenizers` JSON layout) and the encoding of single words."""
 
@@ -75,7 +109,7 @@ class Bpe:
         order = np.argsort(keys)
         self.pair_keys = keys[order]
         self.pair_rank = np.fromiter(self.merges.values(), np.int64, len(keys))[order] >> 24
-        self._hash_pairs(keys)
+        self.pairs = Table(keys, np.fromiter(self.merges.values(), np.int64, len(keys)), _NEVER)
         self.base_mid = np.array([self.mid[bytes([b])] for b in range(256)])
         self.base_end = np.array([self.end[bytes([b])] for b in range(256)])
         self._grow_trie()
@@ -83,54 +117,23 @@ class Bpe:
         self.forget()
 
     def _grow_trie(self) -> None:
-        """Prefixes of the entries: `child[node, byte]`, -1 for none; nodes from `inner` on have no children."""
+        """Prefixes of the entries: `child` of (node << 8 | byte), -1 for none; nodes from `inner` on have no children."""
         raws = [*self.mid, *self.end]
         stems = {raw[:k] for raw in raws for k in range(len(raw))}
         node = {p: k for k, p in enumerate(stems)}
         self.inner, self.root = len(stems), node[b""]
         for raw in raws:
             node.setdefault(raw, len(node))
-        self.child = np.full((self.inner, 256), -1, np.int32)
-        for p, k in node.items():
-            if p:
-                self.child[node[p[:-1]], p[-1]] = k
+        steps = [(node[p[:-1]] << 8 | p[-1], k) for p, k in node.items() if p]
+        self.child = Table(np.array([a for a, _ in steps], np.int64), np.array([k for _, k in steps], np.int32), -1)
         self.at_mid, self.at_end = np.full(len(node), -1, np.int32), np.full(len(node), -1, np.int32)
         for table, to in ((self.mid, self.at_mid), (self.end, self.at_end)):
             for raw, k in table.items():
                 to[node[raw]] = k
 
-    def _hash_pairs(self, keys: np.ndarray) -> None:
-        """Open addressing over the pairs, so that many are looked up at once."""
-        self.bits = max(4, int(len(keys)).bit_length() + 3)
-        self.slot_key, self.slot_value = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, _NEVER, np.int64)
-        values, slot = np.fromiter(self.merges.values(), np.int64, len(keys)), self._slot(keys)
-        left = np.arange(len(keys))
-        while len(left):
-            free = left[self.slot_key[slot[left]] < 0]
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.slot_key[slot[put]], self.slot_value[slot[put]] = keys[put], values[put]
-            left = left[self.slot_key[slot[left]] != keys[left]]
-            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def _look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank and new id of each pair, as in `merges`; _NEVER for none."""
-        key = a.astype(np.int64) * self.size + b
-        slot = self._slot(key)
-        held, out = self.slot_key[slot], self.slot_value[slot]
-        odd = np.nonzero((held != key) & (held >= 0))
-        out[held != key] = _NEVER
-        while len(odd[0]):
-            slot[odd] = (slot[odd] + 1) & ((1 << self.bits) - 1)
-            held = self.slot_key[slot[odd]]
-            hit = held == key[odd]
-            out[tuple(o[hit] for o in odd)] = self.slot_value[slot[odd]][hit]
-            more = ~hit & (held >= 0)
-            odd = tuple(o[more] for o in odd)
-        return out
+        return self.pairs.get(a.astype(np.int64) * self.size + b)
 
     def _mark_reachable(self) -> None:
         """A token can be produced if its two parts can, and the border between them stays open until its merge."""
@@ -181,7 +184,7 @@ class Bpe:
             node = np.full(len(live), self.root, np.int32)
             best, step, act, depth = np.full(len(live), -1, np.int32), np.zeros(len(live), np.int64), np.arange(len(live)), 0
             while len(act):
-                to = self.child[node[act], raw[first[act] + depth]]
+                to = self.child.get(node[act].astype(np.int64) << 8 | raw[first[act] + depth])
                 act, to, depth = act[to >= 0], to[to >= 0], depth + 1
                 node[act] = to
                 last = rest[act] == depth

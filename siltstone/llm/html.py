@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import slices
+from siltstone.llm.bpe import slices, tidy
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -201,5 +201,6 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text", stop_word
         for b in slices(batches, html):
             texts = pa.array([extract(h, stop_words) for h in b.column(html).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), texts], schema.names)
+        tidy()
 
     return df.mapInArrow(run, schema)

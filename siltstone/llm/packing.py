@@ -14,7 +14,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,27 +160,16 @@ def pack(df: DataFrame, capacity: Capacity = Capacity(), length: str = "length")
     own = "siltstone_pack_"
     kept = [f for f in df.schema.fields if f.name not in ("sequence_id", "offset")]
     names = [f.name for f in kept]
-    ranked = T.StructType([*kept, T.StructField(f"{own}part", T.IntegerType(), False), T.StructField(f"{own}length", T.LongType(), False), T.StructField(f"{own}rank", T.LongType(), False)])
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The number of each row among those of its length in this partition."""
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity.tokens + 2, np.int64)
-        for b in batches:
-            n = b.column(length).cast(pa.int64()).fill_null(0).to_numpy()
-            n = np.clip(n, 0, capacity.tokens + 1)
-            order = np.argsort(n, kind="stable")
-            s = n[order]
-            firsts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else s
-            runs = np.diff(np.append(firsts, len(s)))
-            ranks = np.empty(len(s), np.int64)
-            ranks[order] = seen[s] + np.arange(len(s)) - np.repeat(firsts, runs)
-            seen += np.bincount(n, minlength=len(seen))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.full(len(n), part, np.int32)), pa.array(n), pa.array(ranks)], ranked.names)
-
-    table = written(df.select(*names).mapInArrow(rank, ranked), "pieces")
+    held = F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    table = written(df.select(*names, F.spark_partition_id().alias(f"{own}part"), held.alias(f"{own}length"), F.monotonically_increasing_id().alias(f"{own}row")), "pieces")
     by_part = written(table.groupBy(f"{own}part", f"{own}length").count(), "lengths")
+    if by_part.where(F.col(f"{own}length") > capacity.tokens).limit(1).count():
+        raise ValueError(f"a document has more than {capacity.tokens} tokens: cut it first")
     found = by_part.groupBy(f"{own}length").agg(F.sum("count").alias("n")).collect()  # a row for each length: bounded by the capacity
     places = Places.of(plan({r[0]: r.n for r in found if r[0] > 0}, capacity))
+    # the rank of a row among those of its length: those of earlier partitions, and the earlier ones of its own
+    inside = F.row_number().over(Window.partitionBy(f"{own}part", f"{own}length").orderBy(f"{own}row")) - 1
+    table = table.withColumn(f"{own}rank", inside.cast("long"))
     before = F.sum("count").over(Window.partitionBy(f"{own}length").orderBy(f"{own}part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = by_part.select(f"{own}part", f"{own}length", F.coalesce(before, F.lit(0)).alias(f"{own}before"))
     shared = df.sparkSession.sparkContext.broadcast(places)

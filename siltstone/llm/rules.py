@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import slices
+from siltstone.llm.bpe import slices, tidy
 from siltstone.llm.durable import written
 
 #: What counts as a symbol and as white space.
@@ -71,6 +71,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
         for b in slices(batches, text):
             rows = np.array([counts(t) for t in b.column(text).to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, rows.T.copy())], schema.names)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

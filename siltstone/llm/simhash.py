@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import slices
+from siltstone.llm.bpe import slices, tidy
 from siltstone.llm.components import connected_components
 from siltstone.llm.durable import written
 
@@ -60,6 +60,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", width: int
         for b in slices(batches, text):
             bits = np.array([fingerprint(t, width, seed) for t in b.column(text).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits.view(np.int64))], [*b.schema.names, out])
+        tidy()
 
     return df.mapInArrow(run, schema)
 
