@@ -170,7 +170,7 @@ def reassemble(recipes: DataFrame, chunks: DataFrame, key: str = "object_id", ha
 
 
 def _join(parts: pa.Array) -> pa.Array:
-    return pa.array([None if p is None else b"".join(x["piece"] for x in p) for p in parts.to_pylist()], pa.binary())
+    return pa.array([None if p is None or any(x["piece"] is None for x in p) else b"".join(x["piece"] for x in p) for p in parts.to_pylist()], pa.binary())
 
 
 join_pieces = F.arrow_udf(_join, T.BinaryType())

@@ -235,7 +235,7 @@ class Repository:
         return self.entries().where(F.col("snapshot") == found.removeprefix(metadata.BACKUP))
 
     def restore(self, name: str, below: str = "") -> DataFrame:
-        """FILES of a snapshot, or of what is below one of its directories."""
+        """FILES of a snapshot, or of one of its paths with all that is below."""
         rows = self.snapshot(name)
         if below:
             rows = rows.where((F.col("path") == below) | F.col("path").startswith(below.strip("/") + "/"))
