@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -504,10 +505,13 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder for a stream's state that driver and executors share."""
+    """A new folder for a stream's state in the folder that driver and executors share; a temporary one in local runs."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    made = tempfile.mkdtemp(prefix="siltstone-stream-") if not shared else None
-    return made or f"{shared}/siltstone-stream-{spark.sparkContext.applicationId}-{id(object())}"
+    if shared:
+        return f"{shared}/siltstone-stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="siltstone-stream-")
 
 
 def _stream_folder(spark: SparkSession, sf_dir: str) -> str:
