@@ -102,3 +102,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals by source, language and tokenizer version, after a load, the copies' deletion and a revision."""
     versions = {"word_bpe_49k": (bpe.WordLevel, public_tokenizers.path("word_bpe_49k.json")), "words": None}
     return rollup.maintained(read(spark, sf_dir, "documents"), durable.scratch(spark, "token-ledger"), versions).totals()
+
+
+ORACLES["op9_vectors"] = """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT m.vec_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id"""

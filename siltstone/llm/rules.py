@@ -190,11 +190,15 @@ def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), tail: floa
     passed = stats.where(~base_failed()).select(*by, *(values[n].alias(n) for n in names))
     model = fit_mcd(written(passed, "statistics"), names, list(by), floors, share, steps)
     table, levels = stats, range(len(by), -1, -1)
-    for k in levels:
-        at = model.where((F.col("n") >= (least_rows if k else 1)) & F.col("group").startswith(f'{{"level":{k}'))
+    for k in levels[:-1]:
+        at = model.where((F.col("n") >= least_rows) & F.col("group").startswith(f'{{"level":{k}'))
         at = at.select(F.col("group").alias(f"{own}g{k}"), F.struct("mean", "inverse").alias(f"{own}m{k}"))
         table = table.withColumn(f"{own}g{k}", _key(list(by[:k]))).join(at, f"{own}g{k}", "left")
-    table = table.withColumns({f"{own}{n}": values[n] for n in names} | {f"{own}model": F.coalesce(*(F.col(f"{own}m{k}") for k in levels))})
+    # one row for all: a literal, as wide as the statistics
+    every = model.where(F.col("group").startswith('{"level":0')).first()
+    flat = lambda values: F.array(*map(F.lit, values))
+    whole = F.struct(flat(every.mean).alias("mean"), flat(every.inverse).alias("inverse")) if every else F.lit(None).cast("struct<mean: array<double>, inverse: array<double>>")
+    table = table.withColumns({f"{own}{n}": values[n] for n in names} | {f"{own}model": F.coalesce(*(F.col(f"{own}m{k}") for k in levels[:-1]), whole)})
     far = distance([f"{own}{n}" for n in names], f"{own}model.mean", f"{own}model.inverse")
     table = table.withColumn(f"{own}far", far).withColumn(f"{own}failed", base_failed())
     fine = ~F.col(f"{own}failed") & (F.coalesce(F.col(f"{own}far"), F.lit(0.0)) <= chi2_quantile(len(names), 1 - tail))
