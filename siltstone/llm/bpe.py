@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words kept between batches in each Python worker; the table is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 #: Longer words are merged with a heap.
 SHORT = 48
+#: Longer words are proposed for by themselves, from all of their places at once.
+LONG = 1024
 _NEVER = 1 << 60
 _ID = (1 << 24) - 1
 
@@ -173,29 +175,42 @@ class Bpe:
             y[live] = np.where(of_left, y[live], self.left[y[live]])
         return good
 
+    def _longest(self, raw: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest entry that starts at each place and ends by its end: id and length."""
+        node = np.full(len(first), self.root, np.int32)
+        best, step, act, depth = np.full(len(first), -1, np.int32), np.zeros(len(first), np.int64), np.arange(len(first)), 0
+        while len(act):
+            to = self.child.get(node[act].astype(np.int64) << 8 | raw[first[act] + depth])
+            act, to, depth = act[to >= 0], to[to >= 0], depth + 1
+            node[act] = to
+            last = first[act] + depth == ends[act]
+            found = np.where(last, self.at_end[to], self.at_mid[to])
+            hit = act[found >= 0]
+            best[hit], step[hit] = found[found >= 0], depth
+            act = act[~last & (to < self.inner)]
+        return best, step
+
     def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of all words at once: flat ids by word, and how many each has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
-        at, live = ends - sizes, np.flatnonzero(sizes > 0)
-        of, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        at, of, ids = ends - sizes, [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            places = np.arange(at[k], ends[k])
+            best, step = self._longest(raw, places, np.full(len(places), ends[k]))
+            walk, step, j = [], step.tolist(), 0
+            while j < len(step):
+                walk.append(j)
+                j += step[j]
+            of.append(np.full(len(walk), k))
+            ids.append(best[walk])
+        live = np.flatnonzero((sizes > 0) & (sizes <= LONG))
         while len(live):
-            first, rest = at[live], ends[live] - at[live]
-            node = np.full(len(live), self.root, np.int32)
-            best, step, act, depth = np.full(len(live), -1, np.int32), np.zeros(len(live), np.int64), np.arange(len(live)), 0
-            while len(act):
-                to = self.child.get(node[act].astype(np.int64) << 8 | raw[first[act] + depth])
-                act, to, depth = act[to >= 0], to[to >= 0], depth + 1
-                node[act] = to
-                last = rest[act] == depth
-                found = np.where(last, self.at_end[to], self.at_mid[to])
-                hit = act[found >= 0]
-                best[hit], step[hit] = found[found >= 0], depth
-                act = act[~last & (to < self.inner)]
+            best, step = self._longest(raw, at[live], ends[live])
             of.append(live)
             ids.append(best)
             at[live] += step
-            live = live[step < rest]
+            live = live[at[live] < ends[live]]
         of = np.concatenate(of)
         return np.concatenate(ids)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 

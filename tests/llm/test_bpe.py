@@ -36,7 +36,7 @@ def test_random_and_odd_texts(kind, monkeypatch):
     coder, lib, rnd = bpe.load(kind, public_tokenizers.path(FILES[kind])), library(kind), random.Random(7)
     parts = ["a", "aa", "ing", " ", "  ", "the", "<|endoftext|>", "\n", "É", "é", "ß", "İ", "Σ", "1", "!!", " 's", "</w>", "̀", "日本", "\x1c", "\x85", "🙂"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 60))) for _ in range(800)]
-    texts += ["a" * 5000, " " * 3000, "", "ab" * 4000, "the" * 1000, "zq" * 30, "<|startoftext|>"]
+    texts += ["a" * 5000, " " * 3000, "", "ab" * 4000, "the" * 1000, "zq" * 30, "<|startoftext|>", "".join(rnd.choices("abeinrst", k=6000)), "é" * 700 + "." * 1500]
     assert ids_of(coder, texts) == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
     assert ids_of(coder, [None, "a"])[0] == []
 
