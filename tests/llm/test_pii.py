@@ -90,6 +90,33 @@ def test_redaction(spark):
     assert got == {1: "é 😀 [EMAIL] and [PHONE] end", 2: text, 3: None, 4: "[IP]f", 5: "[IP]"}
 
 
+def test_redaction_of_long_texts(spark):
+    """Many spans, pieces over several blocks, spans inside others, against plain slicing."""
+    import random
+
+    rnd, rows = random.Random(4), []
+    for k, (size, many) in enumerate([(9000, 400), (20_000, 3), (4096, 1), (8192, 2), (30_000, 3000), (50, 0)]):
+        text = "".join(rnd.choices("aé😀 x", k=size))
+        spans = sorted((s, min(size, s + rnd.randint(1, 30))) for s in rnd.sample(range(size - 1), many))
+        if k == 2:
+            spans = [(0, 4096)]
+        rows.append((k, text, [("ip", s, e) for s, e in spans]))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    got = {r.id: r.text for r in pii.redact(df).collect()}
+    for k, text, spans in rows:
+        want, last = "", 0
+        merged = []
+        for _, s, e in spans:
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        for s, e in merged:
+            want += text[last:s] + "[IP]"
+            last = e
+        assert got[k] == want + text[last:]
+
+
 def test_frames(spark):
     """Nulls, copies, clashing columns, no rows, a corpus without any candidates."""
     df = spark.createDataFrame([(1, None, 3), (None, "a@b.c", 3), (1, "a@b.c", 3), (1, "a@b.c", 3)], "doc_id long, text string, base int")
