@@ -59,6 +59,20 @@ def _found(t: Column, pattern: str, kind: str) -> Column:
     return F.when(needed, F.split(F.regexp_replace(t, pattern, f"{MARK}$0{MARK}"), MARK, -1)).otherwise(F.array(t))
 
 
+def _blocks(text: str) -> str:
+    """SQL of the text in blocks of 4096 characters, the last one shorter or empty: taking parts of a long text from its
+    start on would cost the square of its length."""
+    return f"transform(sequence(0, cast(length(coalesce({text}, '')) div 4096 as int)), b -> substring(coalesce({text}, ''), b * 4096 + 1, 4096))"
+
+
+def _piece(blocks: str, a: str, e: str) -> str:
+    """SQL of the text from a to e."""
+    first, last = f"cast(({a}) div 4096 as int)", f"cast(({e}) div 4096 as int)"
+    inside = f"substring({blocks}[{first}], cast(({a}) % 4096 as int) + 1, cast(({e}) - ({a}) as int))"
+    over = f"concat(substring({blocks}[{first}], cast(({a}) % 4096 as int) + 1, 4096), array_join(slice({blocks}, {first} + 2, greatest({last} - {first} - 1, 0)), ''), substring({blocks}[{last}], 1, cast(({e}) % 4096 as int)))"
+    return f"if({first} = {last}, {inside}, {over})"
+
+
 def _spans(parts: str) -> Column:
     """(start, end, text) of the matches; prefix sums by blocks of 128, so that many matches don't cost their square."""
     return F.expr(f"""
@@ -109,6 +123,7 @@ def candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> Da
     kept = [c for c in df.columns if c != out]
     t = F.col(f"{own}text")
     df = _with_spans(df.select(*kept, _masked(text).alias(f"{own}text")), {f"{own}{k}": _found(t, CANDIDATES[k], k) for k in KINDS})
+    df = df.withColumns({f"{own}blocks": F.expr(_blocks(f"{own}text")), f"{own}size": F.expr(f"cast(length({own}text) as bigint)")})
     side = "case when {c} = '' then 0 when {c} rlike '[0-9]' then 1 when {c} rlike '[\\\\p{{L}}_]' then 2 when {c} rlike '\\\\s' then 3 else 4 end"
     valid = {
         "email": "element_at(split(s.text, '[.)\\\\]]'), -1) rlike '^ ?[A-Za-z]{2,10}$'",
@@ -124,10 +139,11 @@ def candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> Da
     }
 
     def one(n: int, k: str) -> str:
-        ahead = f"substring({own}text, cast(greatest(s.start - 23, 1) as int), cast(least(s.start, 24) as int))"
+        ahead = _piece(f"{own}blocks", "greatest(s.start - 24, 0L)", "s.start")
+        before = _piece(f"{own}blocks", "greatest(s.start - 1, 0L)", "s.start")
+        after = _piece(f"{own}blocks", f"least(s.end, {own}size)", f"least(s.end + 1, {own}size)")
         return f"""transform({own}{k}, s -> named_struct('start', s.start, 'rank', {n}, 'kind', '{k}', 'end', s.end, 'f_kind', {n},
-            'f_valid', cast({valid[k]} as int), 'f_shape', {shape[k]},
-            'f_before', {side.format(c=f"if(s.start = 0, '', substring({own}text, cast(s.start as int), 1))")}, 'f_after', {side.format(c=f"substring({own}text, cast(s.end + 1 as int), 1)")},
+            'f_valid', cast({valid[k]} as int), 'f_shape', {shape[k]}, 'f_before', {side.format(c=before)}, 'f_after', {side.format(c=after)},
             'f_hint', cast(lower({ahead}) rlike '(?:{HINTS[k]})' as int)))"""
 
     every = ", ".join(one(n, k) for n, k in enumerate(KINDS))
@@ -250,25 +266,20 @@ def redact(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
     some = f"{own}n > 0 and `{text}` is not null"
     steps = [
         {"s": f"transform(array_sort(transform({spans}, s -> named_struct('start', s.start, 'last', s.`end`, 'kind', s.kind))), s -> s)"},
-        {"n": f"size({own}s)", "t": f"transform(sequence(0, cast(length(coalesce(`{text}`, '')) div 4096 as int)), b -> substring(coalesce(`{text}`, ''), b * 4096 + 1, 4096))"},
+        {"n": f"size({own}s)", "t": _blocks(f"`{text}`")},
         {"b": f"case when {some} then transform(sequence(0, cast(({own}n - 1) div 128 as int)), j -> array_max(transform(slice({own}s, j * 128 + 1, 128), s -> s.last))) end"},
         {"p": f"transform({own}b, (x, j) -> coalesce(array_max(slice({own}b, 1, j)), 0L))"},
-        {"r": f"case when {some} then transform({own}s, (s, i) -> greatest({own}p[cast(i div 128 as int)], coalesce(array_max(transform(slice({own}s, cast(i div 128 as int) * 128 + 1, i % 128), x -> x.last)), 0L))) end"},
+        # the greatest end before each span, and at last the greatest of all; the outer array is computed once
+        {"r": f"case when {some} then concat(flatten(transform({own}p, (p, j) -> transform(slice({own}s, j * 128 + 1, 128), (s, i) -> greatest(p, coalesce(array_max(transform(slice({own}s, j * 128 + 1, i), x -> x.last)), 0L))))), array(array_max({own}b))) end"},
         {"k": f"case when {some} then filter(sequence(0, {own}n - 1), i -> {own}s[i].start >= {own}r[i]) end"},
-        {"m": f"transform({own}k, (i, k) -> named_struct('kind', {own}s[i].kind, 'start', {own}s[i].start, 'last', if(k + 1 < size({own}k), {own}r[{own}k[least(k + 1, size({own}k) - 1)]], array_max({own}b))))"},
+        {"m": f"transform({own}k, (i, k) -> named_struct('kind', {own}s[i].kind, 'start', {own}s[i].start, 'last', {own}r[if(k + 1 < size({own}k), {own}k[least(k + 1, size({own}k) - 1)], {own}n)]))"},
     ]
     for step in steps:
         df = df.withColumns({f"{own}{c}": F.expr(e) for c, e in step.items()})
 
-    def gap(a: str, e: str) -> str:
-        first, last = f"cast(({a}) div 4096 as int)", f"cast(({e}) div 4096 as int)"
-        inside = f"substring({own}t[{first}], cast(({a}) % 4096 as int) + 1, cast(({e}) - ({a}) as int))"
-        over = f"concat(substring({own}t[{first}], cast(({a}) % 4096 as int) + 1, 4096), array_join(slice({own}t, {first} + 2, greatest({last} - {first} - 1, 0)), ''), substring({own}t[{last}], 1, cast(({e}) % 4096 as int)))"
-        return f"if({first} = {last}, {inside}, {over})"
-
     before = f"if(k = 0, 0L, {own}m[greatest(k - 1, 0)].last)"
-    body = f"array_join(transform({own}m, (m, k) -> concat({gap(before, 'm.start')}, '[', upper(m.kind), ']')), '')"
-    tail = gap(f"element_at({own}m, -1).last", f"cast(length(`{text}`) as bigint)")
+    body = f"array_join(transform({own}m, (m, k) -> concat({_piece(f'{own}t', before, 'm.start')}, '[', upper(m.kind), ']')), '')"
+    tail = _piece(f"{own}t", f"element_at({own}m, -1).last", f"cast(length(`{text}`) as bigint)")
     done = F.expr(f"case when {some} then concat({body}, {tail}) else `{text}` end")
     return df.withColumn(text, done).select(*kept)
 
