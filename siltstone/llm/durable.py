@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def folder(spark: SparkSession) -> str:
         return set_by_cluster
     own = context._jsc.sc().getCheckpointDir()
     if not own.isDefined():
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
         own = context._jsc.sc().getCheckpointDir()
