@@ -125,7 +125,10 @@ def chunk_blocks(blocks: DataFrame, bits: int, object_id: str = "object_id", blo
     size = F.octet_length(data).cast("long")
     # the 63 bytes may reach over several short blocks: their tails are put together, each no longer than needed
     tail = F.expr(f"substring({data}, greatest(octet_length({data}) - {WINDOW - 2}, 1), {WINDOW - 1})")
-    rows = blocks.select(object_id, block_no, F.col(data).alias("data"), F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.collect_list(tail).over(order.rowsBetween(-(WINDOW - 1), -1)).alias("before"))
+    # only sizes and tails pass the window, so that one object's bytes never have to be in one task
+    narrow = blocks.select(object_id, block_no, size.alias("size"), tail.alias("tail"))
+    narrow = narrow.select(object_id, block_no, F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.collect_list("tail").over(order.rowsBetween(-(WINDOW - 1), -1)).alias("before"))
+    rows = blocks.select(object_id, block_no, F.col(data).alias("data")).join(narrow, [object_id, block_no])
     schema = T.StructType([blocks.schema[object_id], T.StructField("end", T.LongType(), False), T.StructField("last", T.BooleanType(), False)])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +157,40 @@ def chunk_blocks(blocks: DataFrame, bits: int, object_id: str = "object_id", blo
     return found.groupBy(object_id).applyInArrow(pick, T.StructType([blocks.schema[object_id], *(T.StructField(c, T.LongType()) for c in ("seq", "offset", "length"))]))
 
 
+def chunk_data(blocks: DataFrame, bits: int, object_id: str = "object_id", block_no: str = "block_no", data: str = "data", grid: int = 1 << 20) -> DataFrame:
+    """(object_id, seq, offset, length, data) of the chunks of objects held as numbered blocks, up to 14 bits.
+
+    Which part of which block a chunk needs is found on numbers alone, by cells of `grid` bytes; then every block is
+    read once and gives its parts, and a chunk's parts come together.
+    """
+    order = Window.partitionBy(object_id).orderBy(block_no)
+    size = F.octet_length(data).cast("long")
+    sizes = blocks.select(object_id, block_no, size.alias("size")).withColumn("base", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("size > 0")
+    found = chunk_blocks(blocks, bits, object_id, block_no, data)
+    cells = lambda first, n: F.explode(F.sequence(F.expr(f"{first} div {grid}"), F.expr(f"({first} + {n} - 1) div {grid}"))).alias("cell")
+    a = found.select(object_id, "seq", "offset", "length", cells("offset", "length"))
+    b = sizes.select(F.col(object_id).alias("of"), block_no, "base", "size", cells("base", "size"))
+    once = F.col("cell") == F.expr(f"greatest(base div {grid}, offset div {grid})")
+    pairs = a.join(b.withColumnRenamed("cell", "at"), (F.col(object_id) == F.col("of")) & (F.col("cell") == F.col("at"))).where(once & (F.col("base") < F.col("offset") + F.col("length")) & (F.col("offset") < F.col("base") + F.col("size")))
+    start = F.greatest(F.col("offset"), F.col("base"))
+    stop = F.least(F.col("offset") + F.col("length"), F.col("base") + F.col("size"))
+    wanted = pairs.groupBy(object_id, block_no).agg(F.collect_list(F.struct("seq", "offset", "length", (start - F.col("base")).alias("start"), (stop - F.col("base")).alias("stop"))).alias("parts"))
+    key = blocks.schema[object_id]
+    schema = T.StructType([key, *(T.StructField(c, T.LongType()) for c in ("seq", "offset", "length", "block")), T.StructField("piece", T.BinaryType())])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, parts, block = batch.column("data")[k].as_py(), batch.column("parts")[k].as_py(), batch.column("block")[k].as_py()
+                columns = [pa.array([batch.column(object_id)[k].as_py()] * len(parts), batch.schema.field(object_id).type)]
+                columns += [pa.array([p[c] for p in parts], pa.int64()) for c in ("seq", "offset", "length")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([block] * len(parts), pa.int64()), pa.array([x[p["start"] : p["stop"]] for p in parts], pa.binary())], schema.names)
+
+    pieces = blocks.select(object_id, block_no, F.col(data).alias("data")).join(wanted, [object_id, block_no]).select(object_id, F.col(block_no).cast("long").alias("block"), "data", "parts").mapInArrow(take, schema)
+    whole = pieces.groupBy(object_id, "seq", "offset", "length").agg(F.sort_array(F.collect_list(F.struct("block", "piece"))).alias("held"))
+    return whole.select(object_id, "seq", "offset", "length", F.expr("aggregate(held, cast('' as binary), (a, p) -> concat(a, p.piece))").alias("data"))
+
+
 def hashed(chunks: DataFrame, data: str = "data") -> DataFrame:
     """Adds the identity of each chunk."""
     return chunks.withColumn("hash", hash_bytes(data))

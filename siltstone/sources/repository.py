@@ -153,8 +153,12 @@ class Repository:
     def save_bits(self, name: str, blocks: DataFrame, bits: int = model.SPLIT_BITS, at: dt.datetime | None = None) -> str:
         """Stores one stream given as (block_no, data) rows, under name@time."""
         at = at or _now()
-        whole = blocks.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col("block_no").alias("seq"), F.col("data").alias("piece")))).alias("parts")).select(F.lit("stream").alias("object_id"), store.join_pieces("parts").alias("data"))
-        cut = chunking.hashed(chunking.chunk(whole, "object_id", "data", bits))
+        named = blocks.withColumn("object_id", F.lit("stream"))
+        if bits <= 14:
+            cut = chunking.hashed(chunking.chunk_data(named, bits))
+        else:  # where a chunk ends depends on where it begins: the stream has to be in one place
+            whole = named.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct(F.col("block_no").alias("seq"), F.col("data").alias("piece")))).alias("parts"))
+            cut = chunking.hashed(chunking.chunk(whole.select("object_id", store.join_pieces("parts").alias("data")), "object_id", "data", bits))
         rows = self._stored(cut, bits)
         if not rows:
             raise ValueError("an empty stream has no identity")

@@ -110,5 +110,8 @@ def test_frame_and_blocks(spark):
     blocks = [(k, n, bytearray(v[a:b])) for k, v in objects.items() for n, (a, b) in enumerate(zip(range(0, len(v), 777), [*range(777, len(v), 777), len(v)]))]
     blocks += [(7, n, bytearray(objects[3][n * 20 : n * 20 + 20])) for n in range(4500)]  # blocks shorter than the window
     from_blocks = chunking.chunk_blocks(spark.createDataFrame(blocks, "object_id long, block_no long, data binary"), 10).collect()
+    with_data = chunking.chunk_data(spark.createDataFrame(blocks, "object_id long, block_no long, data binary"), 10, grid=4096).collect()
     for k, v in [*objects.items(), (7, objects[3])]:
+        mine = sorted((r.seq, r.offset, bytes(r.data)) for r in with_data if r.object_id == k)
+        assert [len(m[2]) for m in mine] == literal(v, 10) and b"".join(m[2] for m in mine) == v
         assert [r.length for r in sorted((r for r in from_blocks if r.object_id == k), key=lambda r: r.seq)] == literal(v, 10)

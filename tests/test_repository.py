@@ -75,6 +75,7 @@ def test_streams_of_bits(spark, tmp_path):
     data = np.random.default_rng(5).integers(0, 256, 100_000, np.uint8).tobytes()
     blocks = spark.createDataFrame([(k, bytearray(data[k * 9999 : (k + 1) * 9999])) for k in range(11)], "block_no long, data binary")
     assert repo.save_bits("tape", blocks, 10, AT) == "bits-tape@20240506070809"
+    assert repo.save_bits("high", blocks, 16, AT) == "bits-high@20240506070809" and repo.restore_bits("high") == data
     assert repo.restore_bits("tape") == data
     n = repo.chunks().count()
     repo.save_bits("tape", blocks, 10, AT + dt.timedelta(seconds=1))
