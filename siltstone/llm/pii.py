@@ -173,8 +173,9 @@ class Trees:
         return f"1 / (1 + exp(-({' + '.join([f'{self.bias!r}D', *map(one, self.trees)])})))"
 
     def chosen(self, s: str) -> str:
-        """SQL of whether the candidate reaches the threshold of its kind."""
-        return "(case " + " ".join(f"when {s}.kind = '{k}' then {self.sql(s)} >= {t!r}D" for k, t in self.thresholds.items()) + " else false end)" if self.thresholds else "false"
+        """SQL of whether the candidate is well-formed and reaches the threshold of its kind: where the corpus has no
+        ill-formed ones to learn from, the trees can't tell."""
+        return "(case " + " ".join(f"when {s}.kind = '{k}' then {s}.f_valid = 1 and {self.sql(s)} >= {t!r}D" for k, t in self.thresholds.items()) + " else false end)" if self.thresholds else "false"
 
 
 def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 30, depth: int = 3, rate: float = 0.4, shrink: float = 1.0) -> Trees:
