@@ -6,6 +6,7 @@ that any `n_data` shards give the rest.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 POWER, LOG = _tables()
 
 
+#: All products: a row for each left factor.
+PRODUCT = np.where((np.arange(256)[:, None] == 0) | (np.arange(256)[None, :] == 0), 0, POWER[(LOG[:, None] + LOG[None, :]) % 255]).astype(np.uint8)
+
+
 def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    product = POWER[(LOG[a] + LOG[b]) % 255]
-    return np.where((a == 0) | (b == 0), 0, product).astype(np.uint8)
+    return PRODUCT[a, b]
 
 
 def matmul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row: a factor's row of products, taken at the other's bytes."""
     out = np.zeros((a.shape[0], b.shape[1]), np.uint8)
-    for k in range(a.shape[1]):
-        out ^= multiply(a[:, k, None], b[None, k])
+    for i, k in np.argwhere(a).tolist():
+        out[i] ^= PRODUCT[a[i, k]][b[k]]
     return out
 
 
@@ -59,6 +64,7 @@ def inverse(m: np.ndarray) -> np.ndarray:
     return work[:, n:]
 
 
+@functools.cache
 def generator(n_data: int, n_parity: int) -> np.ndarray:
     """Rows of the identity, then the parity rows."""
     if n_data < 1 or n_parity < 1 or n_data + n_parity > 256:
