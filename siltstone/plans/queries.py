@@ -15,6 +15,7 @@ from siltstone.model import INCOMPRESSIBLE
 from siltstone.operators import chunking, metadata, parity, snapshots, store, verify
 from siltstone.plans import sql
 from siltstone.plans.registry import ORACLES, QUERIES
+from siltstone.session import importable
 
 BITS = 10
 RS = {"n_data": 5, "hash_rate": 256}
@@ -31,7 +32,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:

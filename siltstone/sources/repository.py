@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from siltstone import model
 from siltstone.functions.binary import compress, decompress, decrypt, encrypt, hash_bytes, shake256
 from siltstone.operators import chunking, metadata, snapshots, store, verify
+from siltstone.session import importable
 
 #: Fixed values of the key derivation.
 ROUNDS, DERIVED = 65_536, 64
@@ -49,6 +50,7 @@ class Repository:
         return Repository(spark, path, passphrase)
 
     def exists(self) -> bool:
+        importable(self.spark)
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/metadata")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.operators import chunking, store
+from siltstone.session import importable
 
 
 def ingest(stream: DataFrame, key: str, data: str, bits: int, folder: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -20,7 +21,7 @@ def ingest(stream: DataFrame, key: str, data: str, bits: int, folder: str, check
     The set of known hashes is the chunk table itself, so that nothing is forgotten with time.  A batch that is run
     again after a failure writes over its own folder, and its chunks are compared with those of other batches only.
     """
-    spark = stream.sparkSession
+    spark = importable(stream.sparkSession)
 
     def land(batch: DataFrame, number: int) -> None:
         cut = chunking.hashed(chunking.chunk(batch, key, data, bits)).persist()
@@ -51,6 +52,7 @@ def chunk_streams(stream: DataFrame, bits: int, stream_id: str = "stream_id", se
     A row with null data ends its stream and gives out the last, short chunk.  What is kept between batches is the
     open chunk only.
     """
+    importable(stream.sparkSession)
     kind = stream.schema[stream_id].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
