@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.session import importable
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; a temporary one where it is unset (local runs and tests)."""
@@ -32,7 +34,8 @@ BATCH_ROWS = 1000
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Lets Arrow batches hold few rows, unless the session asks for even fewer."""
+    """Lets Arrow batches hold few rows, unless the session asks for even fewer; lets workers import the library."""
+    importable(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
