@@ -14,6 +14,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -476,11 +477,17 @@ def tidy() -> None:
 
 @contextlib.contextmanager
 def loaded(kind: type, path: str) -> Iterator[Bpe]:
-    """The vocabulary's tables for one task; the words that it has seen are forgotten after it."""
-    bpe = load(kind, path)
+    """The vocabulary's tables for one task; the words that it has seen are forgotten after it.
+
+    Coding makes no cycles, but many small lists beside large tables, which the collector would go through in vain.
+    """
+    bpe, collects = load(kind, path), gc.isenabled()
+    gc.disable()
     try:
         yield bpe
     finally:
+        if collects:
+            gc.enable()
         bpe.forget()
         tidy()
 
