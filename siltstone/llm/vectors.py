@@ -5,7 +5,8 @@ around centroids of a bounded sample; clusters that are still too large are divi
 nodes pruned adjacency lists; a node's lists from all its shards are united.  Every node is then searched for in its
 home shard's part of the graph: greedily from the medoids (and from itself), and outwards from everything in range.
 Found pairs are verified in double precision, a bounded sample is compared with all vectors to audit the recall, and
-the search is widened if that is too low.
+the search is widened if that is too low.  Cells that are so dense that a node has more links than a shard has room
+for are not divided: all their pairs are compared, by pairs of blocks.  So are all cells if the last audit fails.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import connected_components
@@ -38,6 +39,7 @@ class Search:
     medoids: int = 4
     audit_rows: int = 200
     least_recall: float = 0.95
+    block_rows: int = 2048  #: of a dense cell; a task holds two blocks and the table of their links
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -160,15 +162,25 @@ def _pack(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(rows, "<f8")], pa.binary())
 
 
-def shards(nodes: DataFrame, s: Search) -> DataFrame:
-    """(cell, home, node, weight, vector): every node once at home, and as a member of the shards next to it.
+def dense(x: np.ndarray, count: int, threshold: float, s: Search) -> bool:
+    """Whether a cell of so many rows, of which x are drawn, gives its rows more links than its shards would hold.
 
-    nodes: (cell, node, weight, vector). Cells of up to twice the wanted rows stay whole.
+    The share of linked pairs also bounds the cost of comparing all: cells that are both large and thin are divided first.
     """
-    spark = nodes.sparkSession
+    x = x[:2048]
+    share = (np.count_nonzero(x @ x.T >= threshold) - len(x)) / max(1, len(x) * (len(x) - 1))
+    return share * count > s.shard_rows / 2 and (share >= 1 / 64 or count <= 512 * s.shard_rows)
+
+
+def shards(nodes: DataFrame, threshold: float, s: Search) -> tuple[DataFrame, list[str]]:
+    """(cell, home, node, weight, vector): every node once at home, and as a member of the shards next to it; and the dense cells.
+
+    nodes: (cell, node, weight, vector). Cells of up to twice the wanted rows stay whole, and so do dense cells.
+    """
+    spark, whole = nodes.sparkSession, []
     table = written(nodes.withColumn("home", F.lit(True)), "nodes")
     for depth in range(8):
-        sizes = table.groupBy("cell").count().where(F.col("count") > s.shard_rows * (2 if depth == 0 else 8)).orderBy(F.desc("count"), "cell").limit(s.centroids // 2).collect()
+        sizes = table.join(_named(spark, whole), "cell", "left_anti").groupBy("cell").count().where(F.col("count") > s.shard_rows * (2 if depth == 0 else 8)).orderBy(F.desc("count"), "cell").limit(s.centroids // 2).collect()
         if not sizes:
             break
         total = sum(r["count"] for r in sizes)
@@ -179,11 +191,15 @@ def shards(nodes: DataFrame, s: Search) -> DataFrame:
         picked: dict[str, list[bytes]] = {}
         for r in drawn.select("cell", "vector").orderBy("cell", F.xxhash64("vector")).toLocalIterator():  # bounded: sample * centroids rows
             picked.setdefault(r.cell, []).append(bytes(r.vector))
-        centres = {c: centroids_of(unit(np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)), wanted[c]) for c, v in picked.items()}
+        counts = {r.cell: r["count"] for r in sizes}
+        drawn_rows = {c: unit(np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)) for c, v in picked.items()}
+        whole += [c for c, x in drawn_rows.items() if dense(x, counts[c], threshold, s)]
+        centres = {c: centroids_of(x, wanted[c]) for c, x in drawn_rows.items() if c not in whole}
+        if not centres:
+            continue
         shared = spark.sparkContext.broadcast(centres)
-        overlap = s.overlap if depth == 0 else 2
 
-        def deal(batches: Iterator[pa.RecordBatch], shared=shared, overlap=overlap) -> Iterator[pa.RecordBatch]:
+        def deal(batches: Iterator[pa.RecordBatch], shared=shared, overlap=s.overlap) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cells = np.array(b.column("cell").to_pylist(), object)
                 at, names, nearest = [], [], []
@@ -206,12 +222,63 @@ def shards(nodes: DataFrame, s: Search) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(out.column(c) for c in ("node", "weight", "vector")), pa.array(home)], ["cell", "node", "weight", "vector", "home"])
 
         table = written(table.select("cell", "node", "weight", "vector", "home").mapInArrow(deal, "cell string, node long, weight long, vector binary, home boolean"), "shards")
-    return table
+    return table, whole
+
+
+def _named(spark: SparkSession, cells: list[str]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(c,) for c in cells], "cell string"))
+
+
+def exact_links(members: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """As `links`, from all pairs of each cell's members; blocks of a cell meet in pairs, so no cell has to fit a task."""
+    cuts = members.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("cuts"))
+    own = members.join(cuts, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    dealt = dealt.select("cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "weight", "vector", "home")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("own")
+        block, ids, weight = (group.column(c).to_numpy() for c in ("own", "node", "weight"))
+        home = np.flatnonzero(group.column("home").to_numpy())
+        x = unit(_vectors(group.column("vector").combine_chunks()))
+        cut = int(np.searchsorted(block, block[-1]))  # 0 if a block meets itself, else where the second one begins
+        near = np.zeros((len(x), len(x)), bool)
+        if cut:
+            near[:cut, cut:] = x[:cut] @ x[cut:].T >= threshold
+            near[cut:, :cut] = near[:cut, cut:].T
+        else:
+            near = x @ x.T >= threshold
+            np.fill_diagonal(near, False)
+        n = np.array([weight[row].sum() for row in near[home]], np.int64)
+        child, parent, left = [], [], np.ones(len(x), bool)
+        for root in np.flatnonzero(near.any(axis=1)).tolist():
+            if not left[root]:
+                continue
+            left[root], front = False, np.array([root])
+            while len(front):
+                reached = near[front[:256]].any(axis=0) & left
+                left &= ~reached
+                new = np.flatnonzero(reached)
+                child.append(ids[new])
+                parent.append(np.full(len(new), ids[root]))
+                front = np.concatenate([front[256:], new])
+        none = np.zeros(0, np.int64)
+        a, b = np.concatenate([*child, none]), np.concatenate([*parent, none])
+        return pa.table({
+            "a": pa.array(np.concatenate([ids[home], a])),
+            "n": pa.chunked_array([pa.array(n), pa.nulls(len(a), pa.int64())]), "b": pa.chunked_array([pa.nulls(len(home), pa.int64()), pa.array(b)]),
+        })
+
+    found = written(dealt.groupBy("cell", "low", "high").applyInArrow(compare, "a long, n long, b long"), "block-links")
+    counted = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).select("a", "n", F.lit(None).cast("long").alias("b"))
+    return counted.unionByName(found.where("b is not null"))
 
 
 def links(nodes: DataFrame, threshold: float, s: Search) -> DataFrame:
     """(a, n, b): with b null, the links n that node a was found to have, by weight; else a pair (a, b) that holds a component together."""
-    members = shards(nodes, s)
+    members, whole = shards(nodes, threshold, s)
+    crowded = members.join(_named(nodes.sparkSession, whole), "cell", "left_semi")
+    members = members.join(_named(nodes.sparkSession, whole), "cell", "left_anti") if whole else members
 
     def build(group: pa.Table) -> pa.Table:
         ids = group.column("node").to_numpy()
@@ -249,7 +316,8 @@ def links(nodes: DataFrame, threshold: float, s: Search) -> DataFrame:
             "b": pa.chunked_array([pa.nulls(len(home), pa.int64()), pa.array(y, pa.int64())]),
         })
 
-    return table.groupBy("cell").applyInArrow(find, "a long, n long, b long")
+    searched = table.groupBy("cell").applyInArrow(find, "a long, n long, b long")
+    return searched.unionByName(exact_links(crowded, threshold, s.block_rows)) if whole else searched
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, rows: int) -> tuple[float, int]:
@@ -310,6 +378,8 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
         if recall >= s.least_recall:
             break
         s = replace(s, overlap=s.overlap + 2, beam=s.beam * 2, degree=s.degree + 8, pool=s.pool + 16)
+    else:
+        found = written(exact_links(bare.withColumn("home", F.lit(True)), threshold, s.block_rows), "links")
     joined = connected_components(found.where("b is not null").select("a", "b"))
     roots = nodes.select("cell", "vector", "node", "weight", "least").join(joined, "node", "left").withColumn("root", F.coalesce("component", "node"))
     roots = written(roots.select("cell", "vector", "node", "weight", "least", "root"), "roots")

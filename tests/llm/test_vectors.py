@@ -57,6 +57,18 @@ def test_recall_over_many_small_shards(spark):
     assert links > 0.9 and same > 0.97
 
 
+def test_dense_group_larger_than_its_shards(spark):
+    """Near copies that are many times a divided shard: every link of theirs counts."""
+    x, labels = clustered(5, 1500, [1800], noise=0.1)
+    links, same = recall(spark, x, labels * 0, Search(shard_rows=64, block_rows=300))
+    assert links > 0.99 and same > 0.99
+
+
+def test_failed_audits_end_in_all_pairs(spark):
+    x, labels = clustered(6, 300, [2] * 20 + [90])
+    assert recall(spark, x, labels, Search(shard_rows=40, least_recall=1.01, block_rows=50)) == (1.0, 1.0)
+
+
 def test_search_finds_what_the_graph_holds():
     x, _ = clustered(3, 300, [2] * 30 + [90])
     u = vectors.unit(x.astype(np.float64)).astype(np.float32)
