@@ -1,8 +1,10 @@
 """Quality rules: base limits on counts, then robust outliers of transformed statistics by language and source.
 
-The location and scatter of each group are minimum-covariance-determinant estimates: from medians and quartile
-ranges, concentration steps take the rows with the smallest distances and estimate anew.  All rows take part; each
-step is one pass that sums moments by group and band of distance, so no group has to be in one place.
+The location and scatter of each group are minimum-covariance-determinant estimates: from medians and two robust
+scales, concentration steps take the half of the rows with the smallest distances and estimate anew until that
+settles; the start with the smaller determinant wins, and all rows near its estimate are then estimated from.  All
+rows take part; each step is one pass that sums moments by group and band of distance, so no group has to be in one
+place.  Of the band in which the half is reached, rows count by the share that is still wanted.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ MORE = ("n_letters", "n_upper", "n_digits", "n_lines")
 #: Transformed statistics, and the least standard deviation that each is given: spreads below these say nothing
 #: about quality (a corpus without symbols has a spread of zero).
 FLOORS = {"z_symbol": 0.05, "z_upper": 0.06, "z_other": 0.05, "z_length": 0.10, "z_repeat": 0.20, "z_dup": 0.20}
-#: Bands of distance: four to an octave.
-BANDS, BAND_LOW = 96, -10.0
+#: Bands of distance: so many to an octave.
+OCTAVE = 16
+BANDS, BAND_LOW = 24 * OCTAVE, -10.0
 
 
 def counts(text: str | None) -> tuple[int, ...]:
@@ -135,46 +138,71 @@ def _key(by: list[str]) -> Column:
     return F.to_json(F.struct(F.lit(len(by)).alias("level"), *(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by))))
 
 
-def fit_mcd(stats: DataFrame, names: list[str], by: list[str], floors: dict[str, float], share: float = 0.75, steps: int = 3) -> DataFrame:
-    """(group, n, mean, inverse) of every level's groups. stats: one row per document, without nulls in `names`."""
+def fit_mcd(stats: DataFrame, names: list[str], by: list[str], floors: dict[str, float], share: float = 0.5, steps: int = 12, near: float = 0.975) -> DataFrame:
+    """(group, n, mean, inverse) of every level's groups. stats: one row per document, without nulls in `names`.
+
+    At most `steps` concentration steps, fewer if all determinants settle; then one estimate from the rows within
+    `near` of the chi-square distribution.
+    """
     p = len(names)
     rows = _levels(stats.select(*names, *by), by).drop(*by)
     quartiles = rows.groupBy("group").agg(F.count("*").alias("n"), *(F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in names))
     floor2 = np.array([floors[c] ** 2 for c in names])
-    grow = share / chi2_share(chi2_quantile(p, share), p + 2)  # the nearest rows' scatter is too small by this
-    schema = "group string, n long, mean array<double>, inverse array<double>"
+    # the nearest rows' scatter is too small by this
+    grow, cut = share / chi2_share(chi2_quantile(p, share), p + 2), chi2_quantile(p, near)
+    grow_near = near / chi2_share(cut, p + 2)
+    schema = "group string, start int, n long, mean array<double>, inverse array<double>, size double"
 
     def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Scales by the quartile range, and by the nearer quartile: outliers on one side can take the other."""
         for b in batches:
             q = np.stack([np.stack(b[c].to_numpy()) for c in names], 1) if len(b) else np.zeros((0, p, 3))
-            inverse = [np.diag(1 / (s**2 + floor2)).ravel() for s in (q[:, :, 2] - q[:, :, 0]) / 1.349]
-            yield pd.DataFrame({"group": b["group"], "n": b["n"], "mean": list(q[:, :, 1]), "inverse": inverse})
+            low, high = q[:, :, 1] - q[:, :, 0], q[:, :, 2] - q[:, :, 1]
+            for start, scale in enumerate([(low + high) / 1.349, 2 * np.minimum(low, high) / 1.349]):
+                inverse = [np.diag(1 / (s**2 + floor2)).ravel() for s in scale]
+                yield pd.DataFrame({"group": b["group"], "start": start, "n": b["n"], "mean": list(q[:, :, 1]), "inverse": inverse, "size": np.inf})
 
     model = written(quartiles.mapInPandas(begin, schema), "mcd-0")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    moments = [*(F.sum(c).alias(f"s{i}") for i, c in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs)]
 
-    def concentrate(key: tuple, bands: pd.DataFrame) -> pd.DataFrame:
-        """Moments of the bands nearest the centre that hold the wanted share of the group."""
-        bands = bands.sort_values("band")
-        n = bands["n"].to_numpy()
-        last = int(np.searchsorted(np.cumsum(n), share * n.sum()))
-        m = bands[[f"s{i}" for i in range(p)]].to_numpy()[: last + 1].sum(0) / n[: last + 1].sum()
-        cross = bands[[f"c{i}_{j}" for i, j in pairs]].to_numpy()[: last + 1].sum(0) / n[: last + 1].sum()
+    def estimate(sums: pd.DataFrame, weight: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and scatter, with the floors, of weighted sums of moments."""
+        total = (sums["n"].to_numpy() * weight).sum()
+        m = sums[[f"s{i}" for i in range(p)]].to_numpy().T @ weight / total
+        cross = sums[[f"c{i}_{j}" for i, j in pairs]].to_numpy().T @ weight / total
         scatter = np.zeros((p, p))
         for (i, j), c in zip(pairs, cross, strict=True):
             scatter[i, j] = scatter[j, i] = c - m[i] * m[j]
-        inverse = np.linalg.inv(scatter * grow + np.diag(floor2))
-        return pd.DataFrame({"group": [key[0]], "n": [int(n.sum())], "mean": [m], "inverse": [inverse.ravel()]})
+        return m, scatter * factor + np.diag(floor2)
 
-    for k in range(steps):
-        seen = rows.join(model.select("group", "mean", "inverse"), "group")
-        band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor((F.log2(distance(names) + 1e-9) - BAND_LOW) * 4))).cast("int")
-        sums = seen.groupBy("group", band.alias("band")).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs))
-        model = written(sums.groupBy("group").applyInPandas(concentrate, schema), f"mcd-{k + 1}")
-    return model
+    def concentrate(key: tuple, bands: pd.DataFrame) -> pd.DataFrame:
+        """Moments of the bands nearest the centre that hold the wanted share of the group, the last of them in part."""
+        bands = bands.sort_values("band")
+        n = bands["n"].to_numpy()
+        weight = np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0, 1)
+        m, scatter = estimate(bands, weight, grow)
+        return pd.DataFrame({"group": [key[0]], "start": [key[1]], "n": [int(n.sum())], "mean": [m], "inverse": [np.linalg.inv(scatter).ravel()], "size": [np.linalg.slogdet(scatter)[1]]})
 
+    def reweigh(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+        m, scatter = estimate(sums, np.ones(len(sums)), grow_near)
+        return pd.DataFrame({"group": [key[0]], "n": [int(sums["whole"].iloc[0])], "mean": [m], "inverse": [np.linalg.inv(scatter).ravel()]})
 
-def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), tail: float = 1e-4, least_rows: int = 100, floors: dict[str, float] = FLOORS, share: float = 0.75, steps: int = 3) -> DataFrame:
+    for k in range(steps):
+        seen = rows.join(model.select("group", "start", "mean", "inverse"), "group")
+        band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor((F.log2(distance(names) + 1e-9) - BAND_LOW) * OCTAVE))).cast("int")
+        sums = seen.groupBy("group", "start", band.alias("band")).agg(F.count("*").alias("n"), *moments)
+        former, model = model, written(sums.groupBy("group", "start").applyInPandas(concentrate, schema), f"mcd-{k + 1}")
+        moved = model.join(former.select("group", "start", F.col("size").alias("former")), ["group", "start"]).where(F.abs(F.col("size") - F.col("former")) > 1e-3)
+        if not moved.limit(1).count():
+            break
+    best = model.groupBy("group").agg(F.min_by(F.struct("n", "mean", "inverse"), F.struct("size", "start")).alias("best")).select("group", "best.*")
+    seen = rows.join(best.withColumnRenamed("n", "whole"), "group").where(distance(names) <= cut)
+    sums = seen.groupBy("group", "whole").agg(F.count("*").alias("n"), *moments)
+    return written(sums.groupBy("group").applyInPandas(reweigh, "group string, n long, mean array<double>, inverse array<double>"), "mcd")
+
+
+def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), tail: float = 1e-4, least_rows: int = 100, floors: dict[str, float] = FLOORS, share: float = 0.5, steps: int = 12) -> DataFrame:
     """Adds `base_failed`, `distance` (squared) and `kept` to the rows of `statistics`.
 
     A row is kept if it passes the base limits and its distance is within all but the tail of the chi-square

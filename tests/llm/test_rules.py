@@ -71,6 +71,18 @@ def test_estimate_resists_outliers(spark):
     assert 1 < scatter[0, 0] < 1.6
 
 
+@pytest.mark.parametrize("spread", [0.5, 0.0])
+def test_estimate_resists_a_third_of_outliers(spark, spread):
+    """A third of the rows in a far cluster, which may be of copies: all of it is far off, and no more than a few others."""
+    rng = np.random.default_rng(8)
+    good, bad = rng.standard_normal((4000, 6)), 15 + spread * rng.standard_normal((2000, 6))
+    names = list("uvwxyz")
+    rows = spark.createDataFrame([[float(v) for v in r] for r in np.vstack([good, bad])], names)
+    (r,) = rules.fit_mcd(rows, names, [], dict.fromkeys(names, 0.01)).collect()
+    far = lambda x: np.einsum("ni,ij,nj->n", x - r.mean, np.reshape(r.inverse, (6, 6)), x - r.mean) > rules.chi2_quantile(6, 1 - 1e-4)
+    assert far(bad).all() and far(good).mean() < 0.005
+
+
 def test_estimate_of_clean_rows_is_consistent(spark):
     rng = np.random.default_rng(6)
     cov = np.array([[1.0, 0.6], [0.6, 2.0]])
