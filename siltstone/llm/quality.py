@@ -31,7 +31,7 @@ CACHE_WORDS = 100_000
 def shape(word: str) -> str:
     """Upper-case runs become A, lower-case ones a, digits 0, repeated marks one."""
     out, last = [], ""
-    for c in word[:64]:
+    for c in word:
         kind = "a" if c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             out.append(kind)

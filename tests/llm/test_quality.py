@@ -36,6 +36,14 @@ def test_shapes():
     assert [quality.shape(w) for w in ("Hello,", "ABC!!", "x%%%", "12.5", "", "ß-É")] == ["Aa,", "A!", "a%", "0.0", "", "a-A"]
 
 
+def test_shapes_are_of_whole_words():
+    assert quality.shape("x" * 64 + "1!") == "a0!"
+    same = "語" * 100
+    a, b = quality.Features().rows([same + "1", same + "!"])
+    shapes = slice(quality.WORDS, quality.WORDS + quality.SHAPES)
+    assert not np.array_equal(a[shapes], b[shapes])
+
+
 def test_held_out_rows_are_not_learned(spark, sf):
     """The labels of held-out rows change nothing."""
     from pyspark.sql import functions as F
