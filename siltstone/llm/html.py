@@ -1,8 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
 A page becomes blocks of text, each with its length, the share of it in links, the share of its words that are
-stop words, and where it stands.  The first pass decides the clear blocks; the second lets short, undecided blocks
-take the label of the nearest decided neighbours in the same container.
+stop words, and what holds it.  The first pass decides the clear blocks by density and length; the second lets the
+undecided ones take the label of the nearest decided neighbours, those in the same container first.  Where a block
+stands is one feature among these: an article element lowers the density that is asked for, and text outside of the
+articles has to be denser and longer where the articles hold most of what was accepted.  Prose that isn't the
+article's (sidebars, notices, readers' comments) differs from it only by the container that holds it: such elements
+and class names take their blocks out, unless hardly any text is left then.
 """
 
 from __future__ import annotations
@@ -31,15 +35,22 @@ OUTSIDE = frozenset("nav footer aside form menu dialog button select option labe
 RAW = "script|style|noscript|template|textarea|xmp|noembed|noframes"
 #: Elements that say where the article is.
 INSIDE = frozenset(["article", "main"])
+#: Elements whose class, id and role may name page furniture.
+NAMED = frozenset("div section header table ul ol dl blockquote figure details fieldset".split())
 #: Elements that nest and are followed; all others only break blocks or don't.
 NESTING = OUTSIDE | INSIDE | frozenset("html body div section header table ul ol dl blockquote figure details fieldset".split())
 #: Elements that don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words in class, id or role that name page furniture.
+#: Names that stand for page furniture, and words that may stand beside these in one name ("site-footer").
 FURNITURE = frozenset(
-    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
-    footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion related
-    replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget""".split()
+    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent
+    contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice pager
+    pagination popup promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored
+    subscribe subscription toolbar widget widgets""".split()
+)
+BESIDE = frozenset(
+    """area articles bar block body bottom box buttons container entry form global head header icons inner item items left links
+    list main message page panel post posts primary right secondary section site slot stories thread top unit wrap wrapper""".split()
 )
 
 _TOKEN = re.compile(
@@ -49,34 +60,50 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
 class Block:
-    """One block of text; place: 1 in an article, 0 elsewhere, -1 in page furniture; container: which nesting element holds it."""
+    """One block of text and what holds it."""
 
     text: str
     link_chars: int
-    place: int
-    container: int
-    heading: bool = False
+    heading: bool
+    article: bool  #: in an article or main element
+    mark: str  #: why it may be page furniture: "element", "form", "name", or "" for no reason
+    depth: int  #: of the container that holds it
+    dip: int  #: depth of the smallest container that holds both it and the block before it
     label: int = 0  #: 1 main text, -1 not, 0 undecided
 
 
-def blocks(html: str, furniture: frozenset[str] = FURNITURE) -> list[Block]:
+def names_furniture(names: str, furniture: frozenset[str] = FURNITURE, beside: frozenset[str] = BESIDE) -> bool:
+    """Whether one of the names, as a whole, stands for page furniture: "site-footer" does, "no-sidebar" doesn't."""
+    for name in names.split():
+        parts = [w for w in _PART.findall(name) if len(w) > 1]
+        words = [w.lower() for w in parts]
+        if any(w in furniture for w in words) and all(w in furniture or w in beside for w in words):
+            return True
+    return False
+
+
+def blocks(html: str) -> list[Block]:
     """The blocks of a page in page order; character references are decoded and white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # name, place, number of the article or of the page
-    place, container, links, number = 0, 0, 0, 0
+    stack: list[tuple[str, bool, str]] = []  # name, and what held before it: article, mark
+    article, mark, links, dip = False, "", 0, 0
     parts: list[str] = []
     linked: list[str] = []
     heading = False
 
     def close() -> None:
+        nonlocal dip
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, min(len(text), len(" ".join(unescape("".join(linked)).split()))), place, container, heading))
+                link_chars = min(len(text), len(" ".join(unescape("".join(linked)).split())))
+                out.append(Block(text, link_chars, heading, article, mark, len(stack), min(dip, len(stack))))
+                dip = len(stack)
             parts.clear()
             linked.clear()
 
@@ -103,94 +130,126 @@ def blocks(html: str, furniture: frozenset[str] = FURNITURE) -> list[Block]:
         heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not ending
         if name not in NESTING:
             continue
+        rest = m["rest"] or m["rest2"] or ""
         if ending:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    _, place, container = stack[k]
+                    _, article, mark = stack[k]
                     del stack[k:]
+                    dip = min(dip, k)
                     break
-        elif not (m["rest"] or m["rest2"] or "").endswith("/"):
-            stack.append((name, place, container))
-            words = set()
-            if furniture and name not in ("html", "body", "main"):
-                for a in _ATTRIBUTE.finditer(m["rest"] or m["rest2"] or ""):
-                    words.update(re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower()))
-            number += 1
-            if name in OUTSIDE:
-                place = -1
-            elif words & furniture or (name == "header" and place != 1):
-                place = -1
-            elif name in INSIDE and not any(s[0] in OUTSIDE and s[0] != "form" for s in stack[:-1]):
-                if place != 1:
-                    container = number
-                place = 1
+        elif not rest.endswith("/"):
+            top = not stack or stack[-1][0] in ("html", "body")
+            stack.append((name, article, mark))
+            if name == "form":
+                mark = mark or "form"
+            elif name in OUTSIDE or (name == "header" and top):
+                mark = "element"
+            elif name in INSIDE:
+                article = article or not mark
+            elif name in NAMED and mark in ("", "form") and any(names_furniture(a[1] or a[2] or a[3] or "") for a in _ATTRIBUTE.finditer(rest)):
+                mark = "name"
     say(html[at:])
     close()
     return out
 
 
 def first_pass(found: list[Block], stop_words: frozenset[str], short: int, long: int, links: float, density: float) -> None:
-    """Labels what is clear from the block itself."""
-    articles = any(b.place == 1 for b in found)
+    """Labels what is clear from a block's own length and densities."""
+
+    def size(some: Iterator[Block]) -> int:
+        return sum(len(b.text) for b in some)
+
+    stops = []
     for b in found:
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in stop_words for w in words) / max(1, len(words))
-        if b.place < 0 or (articles and b.place != 1) or b.link_chars > links * len(b.text):
+        stops.append(sum(w in stop_words for w in words) / max(1, len(words)))
+        if b.link_chars > links * len(b.text):
             b.label = -1
-        elif len(b.text) >= short and not b.heading and (b.place == 1 or stops >= density):
+        elif len(b.text) >= short and not b.heading and stops[-1] >= (density / 2 if b.article else density):
             b.label = 1
-        elif len(b.text) >= long and not b.heading:
+    # the weakest evidence goes first where it would leave hardly any text: names, then forms
+    for reason in ("name", "form"):
+        free = [b for b in found if not b.mark]
+        held = size(b for b in found if b.mark == reason and b.label == 1)
+        if held >= long and not any(b.label == 1 for b in free) and held > 4 * size(b for b in free if b.label == 0):
+            for b in found:
+                b.mark = "" if b.mark == reason else b.mark
+    for b in found:
+        if b.mark:
             b.label = -1
-        else:
-            b.label = 0
+    inside = size(b for b in found if b.label == 1 and b.article)
+    outside = size(b for b in found if b.label == 1 and not b.article)
+    if inside > outside or not outside and any(b.article and b.label == 0 for b in found):
+        for b, s in zip(found, stops, strict=True):
+            if not b.article and (b.label == 0 or len(b.text) < long or s < 2 * density):
+                b.label = -1
 
 
 def second_pass(found: list[Block], reach: int) -> None:
-    """Gives undecided blocks the label of the nearest decided neighbours in their container.
+    """Gives undecided blocks the label of their nearest decided neighbours.
 
-    Where the neighbours differ the nearer one counts, at equal distance the main text.  Without a decided
-    neighbour a block is main text if it stands in an article.
+    Page furniture is no neighbour within a container.  Of a neighbour before and one after, that in the smaller common
+    container counts, then the nearer one, at equal distance the main text.  Beyond the block's own container, both
+    sides and furniture too, no farther than `reach` blocks, have to agree, and headings look ahead only.  In an
+    article, nothing but a link list in its own container speaks against a block.  Where the page has no block of main text, all that is
+    undecided is.
     """
-    ahead: list[tuple[int, int] | None] = [None] * len(found)
-    behind: list[tuple[int, int] | None] = [None] * len(found)
-    for order, to in ((range(len(found)), behind), (range(len(found) - 1, -1, -1), ahead)):
-        last: dict[int, tuple[int, int]] = {}
-        for k in order:
+    if not any(b.label > 0 for b in found):
+        for b in found:
+            b.label = 2 if b.label == 0 else b.label
+        return
+    n = len(found)
+    own: list[list[tuple[int, int]]] = [[] for _ in found]  # (distance, label) within the block's container
+    beyond: list[list[tuple[int, int]]] = [[] for _ in found]
+    for ahead in (False, True):
+        voter, low, other = None, 0, None
+        for k in range(n - 1, -1, -1) if ahead else range(n):
             b = found[k]
+            # the containers left between the former block and this one
+            step = (found[k + 1].dip if k + 1 < n else 0) if ahead else b.dip
+            low = min(low, step)
             if b.label:
-                last[b.container] = (k, b.label)
-            else:
-                to[k] = last.get(b.container)
+                other = k
+                if not b.mark:
+                    voter, low = k, b.depth
+                continue
+            if voter is not None and min(low, b.depth) == b.depth:
+                own[k].append((abs(k - voter), found[voter].label))
+            elif other is not None and (ahead or not b.heading) and abs(k - other) <= reach:
+                beyond[k].append((abs(k - other), found[other].label))
     for k, b in enumerate(found):
-        if b.label == 0:
-            near = sorted((abs(k - n[0]), -n[1]) for n in (behind[k], ahead[k]) if n)
-            if b.place == 1:
-                good = not near or any(s < 0 for _, s in near)
-            else:
-                good = bool(near) and near[0][1] < 0 and near[0][0] <= reach
-            b.label = 2 if good else -1
+        if b.label:
+            continue
+        near = min(d for d, _ in own[k]) if own[k] else 0
+        if own[k]:
+            good = any(s > 0 for d, s in own[k] if d == near)
+        elif b.article:
+            good = True
+        else:
+            near = min((d for d, _ in beyond[k]), default=0)
+            good = bool(beyond[k]) and all(s > 0 for d, s in beyond[k] if d == near)
+        b.label = 2 if good else -1
 
 
 def extract(html: str | None, stop_words: frozenset[str] = STOP_WORDS, short: int = 70, long: int = 200, links: float = 0.5, density: float = 0.12, reach: int = 3) -> str:
     """The main text, blocks in page order joined by one space; empty for null, empty or text-free pages.
 
-    If nothing but blocks in furniture is found, the words in class, id and role are not believed.
+    short, long: characters that a block of prose has at least, and that weaker evidence asks for.  links: the share of
+    a block in links from which on it is a link list.  density: the share of stop words that prose has at least.
     """
     if not html:
         return ""
-    for furniture in (FURNITURE, frozenset()):
-        found = blocks(html, furniture)
-        first_pass(found, stop_words, short, long, links, density)
-        second_pass(found, reach)
-        kept = [b.text for b in found if b.label > 0]
-        if kept or not any(b.place < 0 for b in found):
-            break
-    return " ".join(kept)
+    found = blocks(html)
+    first_pass(found, stop_words, short, long, links, density)
+    second_pass(found, reach)
+    return " ".join(b.text for b in found if b.label > 0)
 
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text", stop_words: frozenset[str] = STOP_WORDS) -> DataFrame:
     """Adds the main text of each page; never null.
 
+    Null and empty pages have an empty text; pages of any length are read whole, in time that grows with their length.
     A column of the name `out` is replaced, all others are carried; repeated rows are independent.
     """
     df = df.drop(out) if out != html else df

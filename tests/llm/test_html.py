@@ -22,6 +22,52 @@ def test_equals_the_article_element(spark, sf):
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (want, len(want), p.url)
 
 
+@pytest.mark.parametrize("opening", ["<div>", '<div class="content no-sidebar">', '<section id=story class="post comments-open category-notice">', ""])
+def test_equals_it_under_other_names(spark, sf, opening):
+    """The rules find the same text where nothing says that it is an article."""
+    closing = {"<d": "</div>", "<s": "</section>", "": ""}[opening[:2]]
+    for p in queries.read(spark, sf, "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", p.html, re.S).group(1)
+        page = p.html.replace("<article>", opening).replace("</article>", closing)
+        assert html.extract(page) == " ".join(unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+@pytest.mark.parametrize(
+    "story",
+    [
+        '<div class="content no-sidebar">%s</div>', '<article class="post comments-open category-notice">%s</article>', "<form id=page>%s<input></form>",
+        '<div class="related"><article>A teaser</article></div><div>%s</div>', f'<div class="related-stories"><article>{LONG}</article></div><div>%s</div>', "<div id=comments>%s</div>",
+    ],
+)
+def test_names_count_as_a_whole(story):
+    """A name that only holds a furniture word doesn't take the story out, nor does a name or form around all there is."""
+    text = f"<h1>On rivers</h1><p>{LONG}</p><p>So it is.</p><p>{LONG}{LONG}</p>"
+    page = "<header>The Site</header><nav><a href=/>Home</a></nav>" + story % text + f"<footer>{LONG}</footer>"
+    assert html.extract(page) == f"On rivers {LONG.strip()} So it is. {LONG.strip()} {LONG.strip()}"
+
+
+def test_readers_and_notices_go():
+    page = f"<div><h1>On rivers</h1><p>{LONG}</p></div><ol class='comment-list'><li>{LONG}</li></ol><div id=cookieNotice>{LONG}</div><section class='siteSidebar'>{LONG}</section>"
+    assert html.extract(page) == f"On rivers {LONG.strip()}"
+
+
+def test_text_outside_of_articles():
+    """Short notices beside an article go without any name, a story beside teasers stays."""
+    assert html.extract(f"<p>{LONG}</p><article>{f'<p>{LONG}</p>' * 3}</article>") == " ".join([LONG.strip()] * 3)
+    assert html.extract(f"<div>{f'<p>{LONG}</p>' * 3}</div><article>A teaser</article>").startswith(" ".join([LONG.strip()] * 3))
+
+
+def test_languages_without_stop_words():
+    text = "\u6cb3\u6d41\u5411\u6d77\u3002" * 40
+    assert html.extract(f"<nav><a href=/>{text}</a></nav><div><h1>{text[:5]}</h1><p>{text}</p></div><footer>{text}</footer>") == f"{text[:5]} {text}"
+
+
+def test_links_and_neighbours():
+    links = "<p>" + "<a href=x>A link to another place</a> " * 3 + "</p>"
+    page = f"<div><p>{LONG}</p><p>Near.</p></div><div>{links}<p>Beside links.</p>{links}</div><p>x</p><p>y</p><p>z</p><p>Far away.</p>"
+    assert html.extract(page) == f"{LONG.strip()} Near."
+
+
 def test_furniture_goes_and_short_blocks_stay():
     body = f"<article><h1>On rivers</h1><p>Short.</p><p>{LONG}</p><p>So it is.</p><div class='share'>Share this with a friend</div><p>{LONG}</p><p>End.</article>"
     want = f"On rivers Short. {LONG.strip()} So it is. {LONG.strip()} End."
