@@ -1,9 +1,12 @@
 """Personal data: fixed patterns, and boosted trees over further candidates; DataFrame and SQL functions throughout.
 
 Generators with high recall propose spans that may overlap.  Each has a few format and context features of small
-range; the corpus is summed up as how often every combination of features is or isn't at a fixed pattern's match.
-These counts, whose number is bounded by the features' ranges, are all that the driver sees; it boosts trees on them
-and picks each kind's threshold on held-out documents for a wanted precision.  The trees are applied as a SQL sum.
+range, none of which tells the fixed patterns' own marks (a plus, an at sign).  Candidates at a fixed pattern's match
+are examples, ill-formed ones (a card without its checksum) are counterexamples, and well-formed ones elsewhere are
+what is to be decided: they teach nothing.  The corpus is summed up as how often every combination of features is
+either; these counts, whose number is bounded by the features' ranges, are all that the driver sees.  It boosts trees
+on them and picks each kind's threshold on held-out documents for a wanted precision.  The trees are applied as a SQL
+sum.
 
 Offsets are in code points, ends exclusive.
 """
@@ -29,9 +32,9 @@ BASE = {
     "card": rf"(?<![0-9{SEP}])[0-9](?:{SEP}?[0-9]){{13,18}}(?![0-9{SEP}])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Generators of candidates; every quantifier is bounded.
+#: Generators of candidates. The bounds are those of the formats: 64 characters before the sign, domains of up to 127 labels of 63.
 CANDIDATES = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@|[ ]?[(\[](?:at|AT)[)\]][ ]?)[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]?[(\[](?:dot|DOT)[)\]][ ]?)[A-Za-z0-9-]{1,63}){1,6}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@|[ ]?[(\[](?:at|AT)[)\]][ ]?)[A-Za-z0-9-]{1,63}(?:(?:\.|[ ]?[(\[](?:dot|DOT)[)\]][ ]?)[A-Za-z0-9-]{1,63}){1,126}",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{2,7}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -99,7 +102,11 @@ DIGITS = "translate(lower({t}), 'abcdefghijklmnopqrstuvwxyz +-().@_%[]" + SEP +
 
 
 def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
-    """Adds the base spans: kind, start and end, sorted by start, then kind as in KINDS. Null texts have none."""
+    """Adds the base spans: kind, start and end, sorted by start, then kind as in KINDS.
+
+    Null and empty texts have none; texts of any length are read whole; a column of the name `out` is replaced, all
+    others are carried; repeated rows are independent.
+    """
     own = "siltstone_pii_"
     kept = [c for c in df.columns if c != out]
     t = F.col(f"{own}text")
@@ -118,7 +125,11 @@ def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFram
 
 
 def candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-    """Adds the candidate spans with their features, by start, then kind."""
+    """Adds the candidate spans with their features, by start, then kind.
+
+    Null and empty texts have none; texts of any length are read whole; a column of the name `out` is replaced, all
+    others are carried; repeated rows are independent.
+    """
     own = "siltstone_pii_"
     kept = [c for c in df.columns if c != out]
     t = F.col(f"{own}text")
@@ -132,10 +143,10 @@ def candidates(df: DataFrame, text: str = "text", out: str = "candidates") -> Da
         "phone": f"length({DIGITS.format(t='s.text')}) between 10 and 15",
     }
     shape = {
-        "email": "case when contains(s.text, '@') then 0 when contains(s.text, '(') then 1 else 2 end",
+        "email": "case when s.text rlike '^[A-Za-z]+[._-][A-Za-z]+[^A-Za-z._-]' then 0 when s.text rlike '^[0-9]' then 1 when s.text rlike '^[A-Za-z0-9]+[^A-Za-z0-9]' then 2 else 3 end",
         "ip": "case when s.text like '0%' then 1 when s.text like '127.%' or s.text like '10.%' or s.text like '192.168.%' then 2 else 0 end",
         "card": "case when length(s.text) = 16 then 0 when s.text rlike '[ ]' then 1 when s.text rlike '-' then 2 else 3 end",
-        "phone": "case when s.text like '+%' and contains(s.text, '(') then 0 when s.text like '+%' then 1 when contains(s.text, '(') then 2 else 3 end",
+        "phone": "case when contains(s.text, '(') then 0 when s.text like '%-%-%' then 1 when contains(s.text, '.') then 2 else 3 end",
     }
 
     def one(n: int, k: str) -> str:
@@ -173,8 +184,7 @@ class Trees:
         return f"1 / (1 + exp(-({' + '.join([f'{self.bias!r}D', *map(one, self.trees)])})))"
 
     def chosen(self, s: str) -> str:
-        """SQL of whether the candidate is well-formed and reaches the threshold of its kind: where the corpus has no
-        ill-formed ones to learn from, the trees can't tell."""
+        """SQL of whether the candidate is well-formed, as whatever is at a base span is, and reaches the threshold of its kind."""
         return "(case " + " ".join(f"when {s}.kind = '{k}' then {s}.f_valid = 1 and {self.sql(s)} >= {t!r}D" for k, t in self.thresholds.items()) + " else false end)" if self.thresholds else "false"
 
 
@@ -220,30 +230,40 @@ def boost(cells: list[tuple[dict[str, int], float, float]], rounds: int = 30, de
     return model
 
 
-def fit(found: DataFrame, precision: float = 0.9, base: str = "base", proposed: str = "candidates", least: int = 20) -> Trees:
-    """Learns from all candidates whether they are at a base span of their kind.
+def fit(found: DataFrame, precision: float = 0.9, base: str = "base", proposed: str = "candidates", prior: float = 1.0) -> Trees:
+    """Learns from the candidates at base spans of their kind, and from ill-formed ones.
 
-    Three quarters of the rows (by hash of their spans) train; the others set each kind's threshold: the lowest score from which on
-    the share of base spans is at least `precision`.  A kind with fewer than `least` held-out positives adds nothing.
+    Three quarters of the rows (by hash of their spans) train; the others set each kind's threshold: from it on, the
+    share of those at base spans is at least `precision`, and it lies halfway to the scores of which that isn't so, or
+    at 0.5 at most where there are none.  A kind whose best held-out candidates are ill-formed adds nothing; one
+    without held-out candidates takes the threshold 0.5, and scores that the kinds share.  prior: how many examples and
+    counterexamples of each kind are added to those of the corpus, so that the smallest corpus has scores.
     """
     near = f"exists({base}, b -> b.kind = c.kind and b.start < c.end and c.start < b.end)"
-    rows = found.select(F.pmod(F.xxhash64(F.col(base).cast("string"), F.col(proposed).cast("string")), F.lit(4)).alias("part"), F.expr(f"explode(transform({proposed}, c -> named_struct({', '.join(f'{f!r}, c.{f}' for f in FEATURES)}, 'hit', {near})))").alias("c"))
+    told = f"transform(filter({proposed}, c -> {near} or c.f_valid = 0), c -> named_struct({', '.join(f'{f!r}, c.{f}' for f in FEATURES)}, 'hit', {near}))"
+    rows = found.select(F.pmod(F.xxhash64(F.col(base).cast("string"), F.col(proposed).cast("string")), F.lit(4)).alias("part"), F.expr(f"explode({told})").alias("c"))
     cells = rows.groupBy((F.col("part") == 3).alias("held"), *(F.col(f"c.{f}").alias(f) for f in FEATURES)).agg(F.sum(F.col("c.hit").cast("long")).alias("pos"), F.count("*").alias("n")).collect()
     split = lambda held: [({f: r[f] for f in FEATURES}, float(r.pos), float(r.n - r.pos)) for r in cells if r.held == held]
-    model = boost(split(False))
+    # what is known without a corpus: of each kind, well-formed spans between spaces are examples, ill-formed ones aren't
+    known = [({"f_kind": n, "f_valid": v, "f_shape": 0, "f_before": 3, "f_after": 3, "f_hint": h}, prior * v, prior * (1 - v)) for n in range(len(KINDS)) for v in (0, 1) for h in (0, 1)]
+    model = boost(split(False) + known)
     for n, kind in enumerate(KINDS):
-        scored = sorted(((model.score(x), p, q) for x, p, q in split(True) if x["f_kind"] == n), reverse=True)
+        scored = sorted(((model.score(x), p, q) for x, p, q in split(True) if x["f_kind"] == n), key=lambda x: -x[0])
+        model.thresholds[kind] = 2.0 if scored else 0.5
         pos = neg = 0.0
         for k, (s, p, q) in enumerate(scored):
             pos, neg = pos + p, neg + q
-            if pos >= least and pos >= precision * (pos + neg) and (k + 1 == len(scored) or scored[k + 1][0] < s):
-                model.thresholds[kind] = s
+            if pos >= precision * (pos + neg) and (k + 1 == len(scored) or scored[k + 1][0] < s):
+                model.thresholds[kind] = (s + scored[k + 1][0]) / 2 if k + 1 < len(scored) else min(s, 0.5)
     return model
 
 
 def select(found: DataFrame, model: Trees, out: str = "spans", base: str = "base", proposed: str = "candidates") -> DataFrame:
-    """Adds all spans: the base ones, and the candidates over their threshold that overlap none of their kind; of added
-    ones that overlap one another the first stays."""
+    """Adds all spans: the base ones, and the candidates over their threshold that overlap none of their kind.
+
+    A null or empty list of candidates adds nothing; a column of the name `out` is replaced, all others are carried,
+    those of the base and the candidates too.
+    """
     free = f"filter({proposed}, c -> not exists({base}, b -> b.kind = c.kind and b.start < c.end and c.start < b.end) and {model.chosen('c')})"
     added = F.expr(f"transform({free}, c -> named_struct('kind', c.kind, 'start', c.start, 'end', c.end))")
     ranks = " ".join(f"when s.kind = '{k}' then {n}" for n, k in enumerate(KINDS))
@@ -289,6 +309,7 @@ def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)
     """The carried columns with `base` and `spans` of every row; the text is read once.
 
     Null and empty texts have no spans; repeated rows count as often as they occur; an empty table gives no rows.
+    Carried columns of the names `base`, `candidates` and `spans` are replaced, columns that aren't carried are dropped.
     """
     found = written(candidates(base_spans(df.select(*carry, text), text), text).drop(text), "candidates")
     return select(found, fit(found)).drop("candidates")

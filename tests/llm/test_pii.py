@@ -117,6 +117,30 @@ def test_redaction_of_long_texts(spark):
         assert got[k] == want + text[last:]
 
 
+def corpus(spark, many, texts):
+    """So many base spans of a kind, ill-formed numbers, and the texts."""
+    rows = [f"the mail is user{k}@example.com and tel +1 (743) 555-{1000 + k}, card {CARD} of 10.0.{k % 256}.7 or 411111111111{1000 + k}" for k in range(many)]
+    return spark.createDataFrame([(k, t) for k, t in enumerate([*texts, *rows])], "doc_id long, text string")
+
+
+HIDDEN = ["name (at) host (dot) com", "call (743) 555-3824 today", "jane.doe [at] mail.example.org", "x 4111-1111-1111-1112 y", "5500005555555559 0000000000000000000000", "256.256.1.1 and 300.2.1.4"]
+
+
+@pytest.mark.parametrize("many", [0, 5, 400])
+def test_other_forms_are_found_at_every_size(spark, many):
+    """Written-out signs and phones without a country are added; ill-formed numbers never are."""
+    got = {r.doc_id: r.s for r in pii.find(corpus(spark, many, HIDDEN)).select("doc_id", pii.written_form("spans").alias("s")).collect()}
+    assert [got[k] for k in range(6)] == ["email:0:24", "phone:5:19", "email:0:30", "", "card:0:16", ""]
+
+
+def test_a_kind_of_look_alikes_adds_nothing(spark):
+    """Where held-out candidates of a kind are all ill-formed, its threshold is out of reach."""
+    spans = "array<struct<kind: string, start: bigint, end: bigint>>"
+    df = spark.createDataFrame([(k, f"{'x' * k} no {4111111111110000 + k} here") for k in range(200)], "doc_id long, text string").where("doc_id % 10 <> 1")
+    found = pii.candidates(pii.base_spans(df)).withColumn("base", F.expr(f"cast(array() as {spans})"))
+    assert pii.fit(found.where("exists(candidates, c -> c.f_valid = 0)")).thresholds["card"] > 1
+
+
 def test_frames(spark):
     """Nulls, copies, clashing columns, no rows, a corpus without any candidates."""
     df = spark.createDataFrame([(1, None, 3), (None, "a@b.c", 3), (1, "a@b.c", 3), (1, "a@b.c", 3)], "doc_id long, text string, base int")
