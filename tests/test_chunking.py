@@ -54,6 +54,17 @@ def test_closed_form_equals_the_definition(bits):
         assert lengths(data, bits) == literal(data, bits)
 
 
+@pytest.mark.parametrize("bits", [8, 14, 16])
+def test_many_objects_at_once(bits):
+    """Objects behind one another are cut as each by itself; sums are taken in steps."""
+    rng = np.random.default_rng(bits)
+    objects = [rng.integers(150, 256, int(n), np.uint8).tobytes() for n in rng.integers(0, 9000, 40)]
+    bounds = np.cumsum([0, *map(len, objects)])
+    ends, of = chunking.cut_all(np.frombuffer(b"".join(objects), np.uint8), bounds, bits)
+    for k, v in enumerate(objects):
+        assert np.diff([0, *(ends[of == k] - bounds[k])]).tolist() == literal(v, bits)
+
+
 def test_constant_streams_never_cut():
     for value in range(0, 256, 15):
         assert lengths(bytes([value]) * 20_000, 14) == [20_000]
@@ -111,6 +122,12 @@ def test_frame_and_blocks(spark):
     blocks += [(7, n, bytearray(objects[3][n * 20 : n * 20 + 20])) for n in range(4500)]  # blocks shorter than the window
     from_blocks = chunking.chunk_blocks(spark.createDataFrame(blocks, "object_id long, block_no long, data binary"), 10).collect()
     with_data = chunking.chunk_data(spark.createDataFrame(blocks, "object_id long, block_no long, data binary"), 10, grid=4096).collect()
+    high = {k: v for k, v in objects.items() if k != 2} | {2: rng.integers(200, 256, 50_000, np.uint8).tobytes()}
+    for bits in (15, 18):
+        rows = [(k, n, bytearray(v[a : a + 701])) for k, v in high.items() for n, a in enumerate(range(0, len(v), 701))]
+        found = chunking.chunk_blocks(spark.createDataFrame(rows, "object_id long, block_no long, data binary"), bits).collect()
+        for k, v in high.items():
+            assert [r.length for r in sorted((r for r in found if r.object_id == k), key=lambda r: r.seq)] == literal(v, bits)
     for k, v in [*objects.items(), (7, objects[3])]:
         mine = sorted((r.seq, r.offset, bytes(r.data)) for r in with_data if r.object_id == k)
         assert [len(m[2]) for m in mine] == literal(v, 10) and b"".join(m[2] for m in mine) == v
