@@ -27,7 +27,6 @@ BLOCKS = np.repeat([0.5, 1.0, 1.0, 1.0], [WORDS, SHAPES, PAIRS, REPEATS])
 CACHE_WORDS = 100_000
 
 
-
 def shape(word: str) -> str:
     """Upper-case runs become A, lower-case ones a, digits 0, repeated marks one."""
     out, last = [], ""
@@ -95,7 +94,7 @@ class Model:
         self.base = float(labels.mean()) if len(labels) else 0.5
         self.idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 0.3).astype(np.float32)
         weighted = rows * self.idf
-        _, values, vectors = np.linalg.svd(weighted, full_matrices=False) if len(rows) <= 64 else _leading(weighted, dimensions)
+        values, vectors = _leading(weighted, dimensions)
         keep = values > 1e-6 * max(values.max(initial=0), 1e-30)
         self.axes = np.ascontiguousarray(vectors[keep][:dimensions].T.astype(np.float32))
         self.vectors = self.project(rows)
@@ -118,8 +117,8 @@ class Model:
         return np.clip(np.divide(vote, total, out=np.full(len(rows), self.base), where=total > 1e-9), 0, 1)
 
 
-def _leading(x: np.ndarray, n: int, seed: int = 11) -> tuple[None, np.ndarray, np.ndarray]:
-    """Leading singular values and right vectors, by a randomised range and two power steps."""
+def _leading(x: np.ndarray, n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Leading singular values and right vectors, by a randomised range and two power steps; all of them where there are no more than n + 16."""
     rng = np.random.default_rng(seed)
     y = x @ rng.standard_normal((x.shape[1], min(n + 16, *x.shape))).astype(np.float32)
     for _ in range(2):
@@ -127,7 +126,7 @@ def _leading(x: np.ndarray, n: int, seed: int = 11) -> tuple[None, np.ndarray, n
         y = x @ (x.T @ q)
     q, _ = np.linalg.qr(y)
     _, s, vt = np.linalg.svd(q.T @ x, full_matrices=False)
-    return None, s, vt
+    return s, vt
 
 
 def held_out(id: str = "doc_id", of: int = 4, part: int = 2):
