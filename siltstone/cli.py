@@ -16,7 +16,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--repository", default=os.environ.get("SILTSTONE_DIR"), help="folder of the repository (or SILTSTONE_DIR)")
     p.add_argument("--passphrase", default=os.environ.get("SILTSTONE_PASSPHRASE"), help="of an encrypted repository (or SILTSTONE_PASSPHRASE)")
     c = p.add_subparsers(dest="command", required=True)
-    c.add_parser("init", help="make an empty repository, encrypted if a passphrase is given")
+    i = c.add_parser("init", help="make an empty repository, encrypted if a passphrase is given")
+    i.add_argument("--parity", action="store_true", help="write parity of the chunks' files with every commit")
     b = c.add_parser("backup", help="store a directory tree")
     b.add_argument("--base", help="a snapshot whose unchanged files aren't read again")
     b.add_argument("--split-bits", type=int, default=SPLIT_BITS)
@@ -29,7 +30,8 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("directory")
     k = c.add_parser("cat", help="print chunks")
     k.add_argument("hash", nargs="+")
-    c.add_parser("fsck", help="check everything; exits with the number of violations")
+    f = c.add_parser("fsck", help="check everything; exits with the number of violations")
+    f.add_argument("--most-bytes", type=int, help="refuse a check that would read more bytes of chunks")
     s = c.add_parser("savebits", help="store standard input")
     s.add_argument("--split-bits", type=int, default=SPLIT_BITS)
     s.add_argument("name")
@@ -46,18 +48,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _blocks(stream, size: int = 64 << 20):  # noqa: ANN001, ANN202
-    k = 0
-    while data := stream.read(size):
-        yield k, bytearray(data)
-        k += 1
-
-
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from pyspark.sql import functions as F
 
+    from siltstone import durable
     from siltstone.operators import parity, verify
-    from siltstone.sources.files import read_tree, write_tree
+    from siltstone.sources.files import read_blocks, read_tree, write_pieces
     from siltstone.sources.repository import Repository
 
     a = parser().parse_args(args)
@@ -75,20 +71,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"{r.file}: {r.kind} segment {r.seg} shard {r.shard}", file=sys.stderr)
             return min(255, len(bad))
         os.makedirs(a.directory)
-        for r in parity.restore(files, table).orderBy("file", "seg").toLocalIterator():
-            where = os.path.join(a.directory, r.file)
-            os.makedirs(os.path.dirname(where), exist_ok=True)
-            with open(where, "ab") as f:
-                f.write(r.data)
+        none = F.lit(None).cast("long")
+        write_pieces(parity.restore(files, table).select(F.col("file").alias("path"), none.alias("mode"), none.alias("mtime_ns"), F.col("seg").alias("seq"), F.col("data").alias("piece")), a.directory)
         return 0
     if not a.repository:
         raise SystemExit("no repository: give --repository or set SILTSTONE_DIR")
     if a.command == "init":
-        Repository.init(spark, a.repository, a.passphrase)
+        Repository.init(spark, a.repository, a.passphrase, a.parity)
         return 0
     repo = Repository(spark, a.repository, a.passphrase)
     if a.command == "backup":
-        print(repo.backup(a.name, read_tree(spark, a.directory), a.base, a.split_bits, tuple(a.exclude)))
+        tree = read_tree(spark, a.directory, content=False)
+        print(repo.backup(a.name, tree, a.base, a.split_bits, tuple(a.exclude), blocks=lambda paths: read_blocks(paths, a.directory)))
     elif a.command == "list":
         rows = repo.list().collect()
         for kind, title in (("backup", "backups"), ("bits", "bitstreams")):
@@ -98,19 +92,19 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 for r in mine:
                     print(f"  {r.name:<30} {r.created}")
     elif a.command == "restore":
-        write_tree(repo.restore(a.name), a.directory)
+        repo.restore_tree(a.name, a.directory)
     elif a.command == "cat":
         for r in repo.cat(a.hash).collect():
             out.write(r.data)
     elif a.command == "fsck":
-        found = repo.fsck()
+        found = durable.written(repo.fsck(a.most_bytes), "violations")
         for r in found.toLocalIterator():
             print(f"{r.check}: {r.object} {r.detail}", file=sys.stderr)
         return verify.exit_code(found)
     elif a.command == "savebits":
-        print(repo.save_bits(a.name, spark.createDataFrame(list(_blocks(sys.stdin.buffer)), "block_no long, data binary"), a.split_bits))
+        print(repo.save_stream(a.name, sys.stdin.buffer, a.split_bits))
     elif a.command == "restorebits":
-        out.write(repo.restore_bits(a.name))
+        repo.write_bits(a.name, out)
     elif a.command == "paths":
         for r in repo.paths().where(F.col("path").startswith(a.prefix)).orderBy("name", "year", "month", "day", "time", "path").toLocalIterator():
             print("/".join([r.name, r.year, r.month, r.day, r.time, r.path]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Callable
@@ -115,17 +116,68 @@ def _table() -> np.ndarray:
     return t
 
 
-_CRC = _table().tolist()
+_CRC = _table()
+#: Bytes of one lane: texts are cut into these from their end, and all lanes go side by side.
+LANE = 256
+
+
+def _advance() -> np.ndarray:
+    """Tables (one for each byte of a checksum) of what LANE zero bytes make of it."""
+    out = np.zeros((4, 256), np.uint32)
+    for k in range(4):
+        c = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+        for _ in range(LANE):
+            c = _CRC[c & 255] ^ (c >> 8)
+        out[k] = c
+    return out
+
+
+_AFTER = _advance()
+
+
+def crc32c_all(texts: list[bytes]) -> list[int]:
+    """Castagnoli's checksum of each text."""
+    sizes = np.array([len(x) for x in texts], np.int64)
+    lanes = -(-sizes // LANE)
+    # every text is filled up in front: leading zeros don't change a checksum that starts at zero
+    held = np.zeros((int(lanes.sum()), LANE), np.uint8)
+    flat, ends = held.reshape(-1), np.cumsum(lanes) * LANE
+    for x, n, e in zip(texts, sizes.tolist(), ends.tolist(), strict=True):
+        flat[e - n : e] = np.frombuffer(x, np.uint8)
+    c = np.zeros(len(held), np.uint32)
+    for column in np.ascontiguousarray(held.T):
+        c = _CRC[(c ^ column) & 255] ^ (c >> 8)
+    out, first = np.zeros(len(texts), np.uint32), np.cumsum(lanes) - lanes
+    for k in range(int(lanes.max(initial=0))):
+        rows = np.flatnonzero(lanes > k)
+        before = out[rows]
+        out[rows] = _AFTER[0][before & 255] ^ _AFTER[1][before >> 8 & 255] ^ _AFTER[2][before >> 16 & 255] ^ _AFTER[3][before >> 24] ^ c[first[rows] + k]
+    return [int(x) ^ _start(n) for x, n in zip(out, sizes.tolist(), strict=True)]
+
+
+@functools.lru_cache(4096)
+def _start(n: int) -> int:
+    """What the first value, all ones, has become after n bytes, and the last inversion."""
+    c = np.uint32(0xFFFFFFFF)
+    for _ in range(n % LANE):
+        c = _CRC[c & np.uint32(255)] ^ (c >> np.uint32(8))
+    c = int(c)
+    for _ in range(n // LANE):
+        c = int(_AFTER[0][c & 255] ^ _AFTER[1][c >> 8 & 255] ^ _AFTER[2][c >> 16 & 255] ^ _AFTER[3][c >> 24])
+    return c ^ 0xFFFFFFFF
 
 
 def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC[(c ^ b) & 255] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return crc32c_all([data])[0]
+
+
+def _checksums(column: pa.Array) -> pa.Array:
+    texts = column.to_pylist()
+    found = crc32c_all([x or b"" for x in texts])
+    return pa.array([None if x is None else c for x, c in zip(texts, found, strict=True)], pa.int64())
 
 
-checksum = _of_bytes(crc32c, T.LongType())
+checksum = F.arrow_udf(_checksums, T.LongType())
 
 
 def format_bytes(column: Column) -> Column:

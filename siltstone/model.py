@@ -12,7 +12,7 @@ def _schema(text: str) -> T.StructType:
 
 CHUNKS = _schema("hash:binary raw_len:long codec:byte payload:binary")
 CHUNK_INDEX = _schema("hash:binary pack_name:string offset:long length:long")
-RECIPES = _schema("object_id:string seq:long hash:binary offset:long length:long")
+RECIPES = _schema("object_id:string seq:long hash:binary offset:long length:long bits:int")
 ENTRIES = _schema("snapshot:string path:string parent:string name:string kind:string mode:long mtime_ns:long size:long contents:binary object_id:string")
 SNAPSHOTS = _schema("name:string created:timestamp root_hash:binary root_level:byte")
 METADATA = _schema("name:string created:timestamp data:binary")

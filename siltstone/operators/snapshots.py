@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.durable import written
+from siltstone.functions.binary import hash_bytes
 from siltstone.model import DIR_BIT, INCOMPRESSIBLE, INCOMPRESSIBLE_BITS, INLINE_BYTES, SPLIT_BITS, SYMLINK_BIT
 
 KINDS = ("dir", "file", "symlink")
@@ -59,8 +62,22 @@ def excluded(path: Column, patterns: list[str]) -> Column:
 
 
 def without_excluded(files: DataFrame, patterns: DataFrame, path: str = "path", pattern: str = "pattern") -> DataFrame:
-    """The same with the patterns in a table: a theta anti join."""
-    return files.join(patterns, F.contains(files[path], patterns[pattern]), "left_anti")
+    """The same with the patterns in a table, by equality: every path gives its parts of each length that patterns have.
+
+    Null patterns and paths match nothing, the empty pattern matches every path.  The lengths, which are few, come to the
+    driver; a path gives no more parts than these times its own length, and parts that are no pattern go before the paths
+    meet.
+    """
+    known = patterns.select(F.col(pattern).alias("siltstone_part")).where("siltstone_part is not null").distinct()
+    lengths = sorted(r[0] for r in known.select(F.length("siltstone_part")).distinct().collect())
+    if not lengths:
+        return files
+    every = [f"transform(sequence(1, length(siltstone_path) - {n} + 1), k -> substring(siltstone_path, k, {n}))" if n else "array('')" for n in lengths]
+    guarded = [f"if(length(siltstone_path) >= {n}, {e}, cast(array() as array<string>))" for n, e in zip(lengths, every, strict=True)]
+    paths = files.select(F.col(path).alias("siltstone_path")).where("siltstone_path is not null").distinct()
+    parts = paths.select("siltstone_path", F.explode(F.expr(f"array_distinct(concat({', '.join(guarded)}))")).alias("siltstone_part"))
+    hit = parts.join(known, "siltstone_part", "left_semi").select("siltstone_path").distinct()
+    return files.join(hit, files[path] == hit["siltstone_path"], "left_anti")
 
 
 def extension(name: Column) -> Column:
@@ -125,3 +142,48 @@ def rollup(table: DataFrame) -> DataFrame:
     parts = F.split("parent", "/")
     above = F.array_append(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")), F.lit(""))
     return table.where("kind = 'file'").select("size", F.explode(F.array_distinct(above)).alias("path")).groupBy("path").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+# identities of trees
+
+
+def own_text(children: Column | str = "") -> Column:
+    """What an entry's digest is of: kind, mode, time, size, content and name; the name is last, as it may hold any sign."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    content = children if isinstance(children, Column) else F.coalesce("content_id", F.lit(children))
+    return F.concat_ws("|", "kind", number("mode"), number("mtime_ns"), F.when(F.col("kind") == "dir", F.lit("0")).otherwise(number("size")), content, "name")
+
+
+def tree_digests(table: DataFrame, by: str = "snapshot", hasher: Callable[[Column], Column] = hash_bytes) -> DataFrame:
+    """(by, path, digest) of all entries and, with the empty path, of the root of each tree: hex digests, rolled up depth by depth.
+
+    table: by, path, parent, name, kind, mode, mtime_ns, size and content_id, the identity of a file's or link's content.
+    A directory's digest is of its own attributes and its children's digests, so any change of any entry changes the
+    root.  The children of a directory are put together in 4,096 parts by their digests' first three signs, so that a
+    directory of very many children isn't in one place.  There are as many rounds as the deepest path has parts.
+    """
+    shown = lambda text: F.lower(F.hex(hasher(text.cast("binary"))))
+    rows = table.withColumn("depth", F.size(F.split("path", "/")))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    below, out = None, None
+    for depth in range(deepest, 0, -1):
+        mine = rows.where(F.col("depth") == depth)
+        if below is not None:
+            mine = mine.join(below, [by, "path"], "left")
+        else:
+            mine = mine.withColumn("children", F.lit(None).cast("string"))
+        text = F.when(F.col("kind") == "dir", own_text(F.coalesce("children", F.lit("")))).otherwise(own_text())
+        level = written(mine.select(by, "path", "parent", shown(text).alias("digest")), "digests")
+        out = level if out is None else out.unionByName(level)
+        parts = level.groupBy(by, "parent", F.substring("digest", 1, 3).alias("part")).agg(F.array_join(F.sort_array(F.collect_list("digest")), "").alias("all"))
+        parts = parts.select(by, "parent", F.struct("part", shown(F.col("all")).alias("digest")).alias("part"))
+        joined = parts.groupBy(by, "parent").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        below = joined.select(by, F.col("parent").alias("path"), shown(F.array_join(F.transform("parts", lambda p: p["digest"]), "")).alias("children"))
+    if out is None:
+        return table.select(by, "path", F.lit("").alias("digest"))
+    return out.select(by, "path", "digest").unionByName(below.select(by, "path", F.col("children").alias("digest")))
+
+
+def root_digests(table: DataFrame, by: str = "snapshot", hasher: Callable[[Column], Column] = hash_bytes) -> DataFrame:
+    """(by, digest) of every tree."""
+    return tree_digests(table, by, hasher).where("path = ''").select(by, "digest")

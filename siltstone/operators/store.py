@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.durable import written
 from siltstone.functions.binary import hash_bytes, read_varint, shake256, varint, varint_length
 from siltstone.model import BLOB_MAGIC, HASH_BYTES, INDEX_MAGIC, MAX_LEVEL
-from siltstone.operators.chunking import cuts
+from siltstone.operators.chunking import chunk_data, cuts, hashed
 
 
 def distinct_hashes(chunks: DataFrame, hash: str = "hash") -> DataFrame:
@@ -56,32 +58,49 @@ def record_length(length: Column) -> Column:
 
 
 def running_offsets(chunks: DataFrame, order: list[str], length: str = "length", group: list[str] | None = None) -> DataFrame:
-    """Adds `record` and the `offset` in an endless pack (of each group); a window without a group is for small tables."""
-    w = Window.partitionBy(*(group or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Adds `record` and the `offset` in an endless pack (of each group).
+
+    Ranges of the order are summed first, and then the rows of each, so that no group has to be in one task.  chunks:
+    narrow rows, as they are written once.
+    """
+    keys, part, base = group or [], "siltstone_part", "siltstone_base"
     rows = chunks.withColumn("record", record_length(F.col(length)).cast("long"))
-    return rows.withColumn("offset", F.coalesce(F.sum("record").over(w), F.lit(0)))
+    rows = written(rows.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "records")
+    former = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, part).agg(F.sum("record").alias("sum")).withColumn(base, F.coalesce(F.sum("sum").over(former), F.lit(0))).drop("sum")
+    sums = sums.select(*(F.col(k).alias(f"siltstone_{k}") for k in keys), F.col(part).alias("siltstone_of"), base)
+    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(k).eqNullSafe(F.col(f"siltstone_{k}")) for k in keys]
+    met = rows.withColumn("offset", F.coalesce(F.sum("record").over(inside), F.lit(0))).join(sums, reduce(lambda x, y: x & y, same, F.col(part) == F.col("siltstone_of")))
+    return met.withColumn("offset", F.col("offset") + F.col(base)).select(*chunks.columns, "record", "offset")
 
 
-def assign_packs(chunks: DataFrame, order: list[str], group: str, limit: int, length: str = "length", slop: int = 16) -> DataFrame:
+def assign_packs(chunks: DataFrame, order: list[str], group: str | list[str], limit: int, length: str = "length", slop: int = 16) -> DataFrame:
     """Adds `pack` (from 0 in each group) and `offset`: a chunk that would pass the limit opens a new pack.
 
-    The fold is sequential in each group (one writer's stream), by Arrow and in order; groups run side by side.
+    A group is one writer's stream, which is sequential; it is read in order, batch by batch, and isn't held.  Many
+    writers, such as ranges of a source, are many groups, which run side by side.
     """
+    groups = [group] if isinstance(group, str) else group
     rows = chunks.withColumn("record", record_length(F.col(length)).cast("long"))
     schema = T.StructType([*rows.schema.fields, T.StructField("pack", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        pack, offset, at, number = [], [], 0, 0
-        for size, record in zip(table.column(length).to_pylist(), table.column("record").to_pylist(), strict=True):
-            if at and at + size + slop > limit:
-                number, at = number + 1, 0
-            pack.append(number)
-            offset.append(at)
-            at += record
-        return table.append_column("pack", pa.array(pack, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, of = 0, 0, None
+        for b in batches:
+            pack, offset = [], []
+            keys = zip(*(b.column(g).to_pylist() for g in groups), strict=True)
+            for key, size, record in zip(keys, b.column(length).to_pylist(), b.column("record").to_pylist(), strict=True):
+                if key != of:
+                    of, number, at = key, 0, 0
+                if at and at + size + slop > limit:
+                    number, at = number + 1, 0
+                pack.append(number)
+                offset.append(at)
+                at += record
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pack, pa.int64()), pa.array(offset, pa.int64())], schema.names)
 
-    return rows.groupBy(group).applyInArrow(fold, schema)
+    return rows.repartition(*groups).sortWithinPartitions(*groups, *order).mapInArrow(fold, schema)
 
 
 def blob_record(data: bytes) -> bytes:
@@ -118,7 +137,7 @@ def decode_index(content: bytes) -> Iterator[tuple[bytes, int, int]]:
 
 
 def encode_packs(chunks: DataFrame, pack: str = "pack", order: str = "seq", data: str = "data") -> DataFrame:
-    """(pack, content, index): the bytes of pack and index files of chunks that were dealt to packs."""
+    """(pack, content, index): the bytes of pack and index files of chunks that were dealt to packs; a pack's limit bounds its cell."""
     schema = T.StructType([T.StructField(pack, chunks.schema[pack].dataType), T.StructField("content", T.BinaryType()), T.StructField("index", T.BinaryType())])
 
     def build(table: pa.Table) -> pa.Table:
@@ -161,12 +180,16 @@ def read_index(files: DataFrame, pack: str = "pack", index: str = "index") -> Da
 # recipes
 
 
+def pieces(recipes: DataFrame, chunks: DataFrame, hash: str = "hash", data: str = "data") -> DataFrame:
+    """The recipes' rows with the bytes of each chunk as `piece`, null where it is missing; never broadcast, as bytes may be many."""
+    return recipes.join(chunks.select(hash, F.col(data).alias("piece")).hint("merge"), hash, "left")
+
+
 def reassemble(recipes: DataFrame, chunks: DataFrame, key: str = "object_id", hash: str = "hash", data: str = "data") -> DataFrame:
-    """(key, data): every object's bytes in the order of its recipe; an object with a missing chunk has null data."""
-    joined = recipes.join(chunks.select(hash, F.col(data).alias("piece")), hash, "left")
-    held = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("parts"), F.bool_and(F.col("piece").isNotNull()).alias("whole"))
-    joined_bytes = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.piece))")
-    return held.select(key, F.when(F.col("whole") & (F.size("parts") <= 64), joined_bytes).when(F.col("whole"), join_pieces("parts")).alias(data))
+    """(key, data): every object's bytes in the order of its recipe, for objects that fit a cell; what has a missing chunk has
+    null data.  Larger objects are written piece by piece, from `pieces`."""
+    held = pieces(recipes, chunks, hash, data).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("parts"))
+    return held.select(key, join_pieces("parts").alias(data))
 
 
 def _join(parts: pa.Array) -> pa.Array:
@@ -208,7 +231,7 @@ def merkle_tree(leaves: list[bytes], bits: int) -> list[list[tuple[bytes, bytes]
 
 
 def merkle_roots(recipes: DataFrame, bits: int, key: str = "object_id", hash: str = "hash") -> DataFrame:
-    """(key, hash, level) of every object's root; a recipe's hashes are 32 bytes a chunk and fit one task by object."""
+    """(key, hash, level) of every object's root, where the hashes of an object (32 bytes a chunk) fit a task; see `tall_roots`."""
     schema = T.StructType([T.StructField(key, recipes.schema[key].dataType), T.StructField("hash", T.BinaryType()), T.StructField("level", T.ByteType())])
 
     def root(table: pa.Table) -> pa.Table:
@@ -219,6 +242,42 @@ def merkle_roots(recipes: DataFrame, bits: int, key: str = "object_id", hash: st
     return recipes.select(key, "seq", hash).groupBy(key).applyInArrow(root, schema)
 
 
+def tall_roots(recipes: DataFrame, bits: int, key: str = "object_id", hash: str = "hash", block_rows: int = 4096) -> DataFrame:
+    """As `merkle_roots`, level by level, for objects of any number of chunks: a level's hashes are blocks of bytes, which are cut
+    like any data in blocks.  The number of rounds is that of the levels, ten at most."""
+    table, out = written(recipes.select(F.col(key).alias("object_id"), "seq", F.col(hash).alias("hash")), "level"), None
+    for level in range(MAX_LEVEL + 1):
+        sizes = table.groupBy("object_id").agg(F.count("*").alias("n"))
+        done = table.join(sizes.where("n = 1"), "object_id", "left_semi").select("object_id", "hash", F.lit(level).cast("tinyint").alias("level"))
+        out = done if out is None else out.unionByName(done)
+        rest = table.join(sizes.where("n > 1"), "object_id", "left_semi")
+        if not rest.limit(1).count():
+            return out.withColumnRenamed("object_id", key)
+        blocks = rest.groupBy("object_id", F.expr(f"seq div {block_rows}").alias("block_no")).agg(F.sort_array(F.collect_list(F.struct("seq", F.col("hash").alias("piece")))).alias("parts"))
+        nodes = chunk_data(blocks.select("object_id", "block_no", join_pieces("parts").alias("data")), bits)
+        table = written(hashed(nodes).select("object_id", "seq", "hash"), "level")
+    raise ValueError("the tree is too high")
+
+
+def expand_level(nodes: DataFrame, key: str = "object_id", data: str = "data") -> DataFrame:
+    """(key, seq, hash): the hashes that the nodes of a level hold, given as (key, seq, data); nodes may be cut inside a hash.
+
+    A level that is no whole number of hashes is an error.
+    """
+    former = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.octet_length(data).cast("long")
+    places = nodes.select(key, "seq", size.alias("size")).withColumn("base", F.coalesce(F.sum("size").over(former), F.lit(0))).where("size > 0")
+    held = nodes.select(key, "seq", F.col(data).alias("data")).join(places, [key, "seq"])
+    parts = held.select(key, "seq", "data", "base", F.explode(F.expr(f"sequence(base div {HASH_BYTES}, (base + size - 1) div {HASH_BYTES})")).alias("number"))
+    start = F.greatest(F.col("number") * HASH_BYTES - F.col("base"), F.lit(0))
+    stop = (F.col("number") + 1) * HASH_BYTES - F.col("base")
+    piece = F.substring("data", (start + 1).cast("int"), (stop - start).cast("int"))
+    whole = parts.groupBy(key, "number").agg(F.sort_array(F.collect_list(F.struct("seq", piece.alias("piece")))).alias("parts"))
+    hash = F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.piece))")
+    fine = F.when(F.octet_length(hash) == HASH_BYTES, hash).otherwise(F.raise_error(F.lit("a level is no whole number of hashes")).cast("binary"))
+    return whole.select(key, F.col("number").alias("seq"), fine.alias("hash"))
+
+
 def merkle_expand(node: bytes) -> list[bytes]:
     """The hashes of a whole level's bytes, put together first: nodes may be cut inside a hash."""
     if len(node) % HASH_BYTES:

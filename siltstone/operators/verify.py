@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.binary import hash_bytes, hex_of
+from siltstone.model import HASH_BYTES
+from siltstone.operators.store import merkle_bytes
 
 
 def violation(check: str, object: Column, detail: Column | None = None) -> list[Column]:
@@ -61,6 +63,33 @@ def dangling(pointers: DataFrame, snapshots: DataFrame) -> DataFrame:
     return pointers.join(snapshots.select(F.col("root_hash").alias("data")), "data", "left_anti").select(*violation("dangling", F.col("name")))
 
 
+def bad_pointers(pointers: DataFrame) -> DataFrame:
+    """Names whose data is not one hash."""
+    return pointers.where(~F.coalesce(F.octet_length("data") == HASH_BYTES, F.lit(False))).select(*violation("pointer", F.col("name")))
+
+
+def unneeded(recipes: DataFrame, index: DataFrame, hash: str = "hash") -> DataFrame:
+    """Stored chunks that no recipe needs, as an interrupted run leaves them."""
+    return index.select(hash).distinct().join(recipes.select(hash), hash, "left_anti").select(*violation("orphan", hex_of(F.col(hash))))
+
+
+def identities(rebuilt: DataFrame, key: str = "object_id") -> DataFrame:
+    """Objects whose identity isn't that of their recipe. rebuilt: (key, hash, level) of the recipes' roots."""
+    found = hex_of(merkle_bytes(F.col("hash"), F.col("level")))
+    return rebuilt.where(found != F.col(key)).select(*violation("identity", F.col(key), found))
+
+
+def roots(digests: DataFrame, snapshots: DataFrame, by: str = "snapshot") -> DataFrame:
+    """Snapshots whose root isn't that of their entries (by, digest); name and root of snapshots as (by, root), in hex."""
+    met = snapshots.select(by, "root").join(digests.select(by, "digest"), by, "left")
+    return met.where(~F.col("root").eqNullSafe(F.coalesce("digest", F.lit("")))).select(*violation("root", F.col(by)))
+
+
+def damaged(checked: DataFrame) -> DataFrame:
+    """What `parity.check` found, as violations."""
+    return checked.select(*violation("parity", F.col("file"), F.concat_ws("/", "kind", F.col("seg").cast("string"), F.col("shard").cast("string"))))
+
+
 def exit_code(violations: DataFrame) -> int:
     """The number of violations, as a process can return it."""
     return min(255, violations.count())

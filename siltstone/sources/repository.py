@@ -8,16 +8,22 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import io
 import os
+import zlib
+from collections.abc import Callable
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone import model
-from siltstone.functions.binary import compress, decompress, decrypt, encrypt, hash_bytes, shake256
-from siltstone.operators import chunking, metadata, snapshots, store, verify
+from siltstone import durable, model
+from siltstone.functions.binary import compress, decompress, decrypt, encrypt, hash_bytes, shake256, unpack_gzip
+from siltstone.operators import chunking, metadata, parity, snapshots, store, verify
 from siltstone.session import importable
+from siltstone.sources.files import BLOCK_BYTES, write_tree
 
 #: Fixed values of the key derivation.
 ROUNDS, DERIVED = 65_536, 64
@@ -36,23 +42,22 @@ class Repository:
     # layout
 
     @staticmethod
-    def init(spark: SparkSession, path: str, passphrase: str | None = None) -> Repository:
-        """Makes an empty repository; one that is there already is an error."""
+    def init(spark: SparkSession, path: str, passphrase: str | None = None, protect: bool = False) -> Repository:
+        """Makes an empty repository; one that is there already is an error. protect: every commit writes parity of its chunks' files."""
         self = object.__new__(Repository)
         self.spark, self.path, self.key = spark, path.rstrip("/"), None
         if self.exists():
             raise FileExistsError(path)
         for name, schema in (("chunks", model.CHUNKS), ("recipes", model.RECIPES), ("entries", model.ENTRIES), ("snapshots", model.SNAPSHOTS), ("enc_map", model.ENC_MAP)):
             spark.createDataFrame([], schema).write.parquet(f"{self.path}/{name}")
-        self._append("metadata", [("format", _now(), b"1")], model.METADATA)
+        spark.createDataFrame([], model.RS_SEGMENTS).write.parquet(f"{self.path}/parity")
+        self._append("metadata", [("format", _now(), b"1"), *([("parity", _now(), b"1")] if protect else [])], model.METADATA)
         if passphrase is not None:
             self._append("metadata", [("key", _now(), self._wrap(passphrase).encode())], model.METADATA)
         return Repository(spark, path, passphrase)
 
     def exists(self) -> bool:
-        importable(self.spark)
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/metadata")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return durable.exists(importable(self.spark), f"{self.path}/metadata")
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
@@ -110,21 +115,18 @@ class Repository:
         if not self.key:
             self._append("chunks", rows, model.CHUNKS)
             return
-        from uuid import uuid4
-
         # the cipher differs each time it is computed: written once, then both tables are made from what was written
-        part = f"{self.path}/staged-{uuid4().hex}"
-        rows.write.parquet(part)
-        staged = self.spark.read.schema(rows.schema).parquet(part)
+        staged = durable.written(rows, "sealed")
         self._append("chunks", staged, model.CHUNKS)
         log = staged.select(F.col("hash").alias("plain"), hash_bytes("payload").alias("encrypted"), F.lit(int(_now().timestamp() * 1e6)).alias("written"))
         self._append("enc_map", log, model.ENC_MAP)
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def data(self) -> DataFrame:
         """(hash, data) of all chunks, opened."""
-        return self.chunks().select("hash", decompress(self._opened(F.col("payload"))).alias("data"))
+        return self._open(self.chunks())
+
+    def _open(self, chunks: DataFrame) -> DataFrame:
+        return chunks.select("hash", decompress(self._opened(F.col("payload"))).alias("data"))
 
     def cat(self, hashes: list[str]) -> DataFrame:
         """Chunks by the hex form of their hashes; anything else is an error."""
@@ -153,51 +155,81 @@ class Repository:
     # bit streams
 
     def save_bits(self, name: str, blocks: DataFrame, bits: int = model.SPLIT_BITS, at: dt.datetime | None = None) -> str:
-        """Stores one stream given as (block_no, data) rows, under name@time."""
+        """Stores one stream of any size given as (block_no, data) rows, under name@time."""
+        chunking.check_bits(bits)
         at = at or _now()
-        named = blocks.withColumn("object_id", F.lit("stream"))
-        if bits <= 14:
-            cut = chunking.hashed(chunking.chunk_data(named, bits))
-        else:  # where a chunk ends depends on where it begins: the stream has to be in one place
-            whole = named.groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct(F.col("block_no").alias("seq"), F.col("data").alias("piece")))).alias("parts"))
-            cut = chunking.hashed(chunking.chunk(whole.select("object_id", store.join_pieces("parts").alias("data")), "object_id", "data", bits))
-        rows = self._stored(cut, bits)
-        if not rows:
+        cut = chunking.chunk_data(blocks.withColumn("object_id", F.lit("stream")), bits)
+        found = self._stored(cut, bits).first()
+        if found is None:
             raise ValueError("an empty stream has no identity")
         full = f"{metadata.BITS}{name}@{at:%Y%m%d%H%M%S}"
-        self._name(full, rows["stream"][0] + bytes([rows["stream"][1]]), at)
+        self._protect()
+        self._name(full, bytes.fromhex(found.id), at)
         return full
 
-    def _stored(self, cut: DataFrame, bits: int) -> dict[str, tuple[bytes, int]]:
-        """Stores chunks and recipes, and gives the identity of every object; identities are their recipes' ids."""
-        cut = cut.persist()
-        try:
-            roots = store.merkle_roots(cut, bits).persist()
-            self.store_chunks(cut)
-            ids = roots.select("object_id", _object_id().alias("id"))
-            new = cut.join(ids, "object_id").select(F.col("id").alias("object_id"), "seq", "hash", "offset", "length").dropDuplicates(["object_id", "seq"])
-            self._append("recipes", new.join(self.recipes().select("object_id").distinct(), "object_id", "left_anti"), model.RECIPES)
-            return {r.object_id: (bytes(r.hash), r.level) for r in roots.collect()} if cut.select("object_id").distinct().limit(2).count() < 2 else {}
-        finally:
-            cut.unpersist()
-
-    def restore_bits(self, name: str) -> bytes:
-        """The newest stream of that name."""
+    def save_stream(self, name: str, stream: BinaryIO, bits: int = model.SPLIT_BITS, at: dt.datetime | None = None, block_bytes: int = BLOCK_BYTES, held: int = 8) -> str:
+        """The same from an open stream on the driver, which holds `held` blocks at a time: they go to the shared folder first."""
+        path, k = durable.scratch(self.spark, "stream"), 0
+        schema = T.StructType([T.StructField("block_no", T.LongType()), T.StructField("data", T.BinaryType())])
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        while blocks := _some(stream, block_bytes, held):
+            self.spark.createDataFrame([(k + i, bytearray(x)) for i, x in enumerate(blocks)], schema).write.mode("append").parquet(path)
+            k += len(blocks)
+        return self.save_bits(name, self.spark.read.schema(schema).parquet(path), bits, at)
+
+    def _stored(self, cut: DataFrame, bits: int, tall: bool = True) -> DataFrame:
+        """Stores chunks (object_id, seq, offset, length, data) and recipes, and gives (object_id, id) of every object: its recipe's id.
+
+        What was cut is written once to the shared folder, sealed if the repository is. tall: whether an object may have more
+        chunks than a task holds hashes.
+        """
+        staged = durable.written(chunking.hashed(cut).withColumn("data", self._sealed(F.col("data"))), "cut")
+        narrow = staged.drop("data")
+        ids = (store.tall_roots if tall else store.merkle_roots)(narrow, bits)
+        ids = durable.written(ids.select("object_id", F.lower(F.hex(store.merkle_bytes(F.col("hash"), F.col("level")))).alias("id")), "identities")
+        self.store_chunks(staged.select("hash", self._opened(F.col("data")).alias("data")))
+        new = narrow.join(ids, "object_id").select(F.col("id").alias("object_id"), "seq", "hash", "offset", "length", F.lit(bits).alias("bits")).dropDuplicates(["object_id", "seq"])
+        self._append("recipes", new.join(self.recipes().select("object_id").distinct(), "object_id", "left_anti"), model.RECIPES)
+        return ids
+
+    def bits(self, name: str) -> DataFrame:
+        """(seq, offset, length, piece) of the newest stream of that name; a missing or changed chunk is an error when it is read."""
         wire = bytes(self.resolve(metadata.BITS + name).data)
-        found = self._objects(self.recipes().where(F.col("object_id") == wire.hex())).first()
-        if found is None or found.data is None:
-            raise KeyError(f"{name}: chunks are missing")
-        return bytes(found.data)
+        found = self._pieces(self.recipes().where(F.col("object_id") == wire.hex()))
+        if not self.recipes().where(F.col("object_id") == wire.hex()).limit(1).count():
+            raise KeyError(f"{name}: its recipe is missing")
+        lost = F.raise_error(F.lit(f"{name}: chunks are missing or changed")).cast("binary")
+        return found.select("seq", "offset", "length", F.coalesce("piece", lost).alias("piece"))
+
+    def write_bits(self, name: str, out: BinaryIO) -> int:
+        """Writes the stream to an open file on the driver, part by part; how many bytes."""
+        n = 0
+        for r in self.bits(name).orderBy("seq").toLocalIterator():
+            out.write(r.piece)
+            n += r.length
+        return n
 
-    def _objects(self, recipes: DataFrame) -> DataFrame:
-        """(object_id, data), every chunk verified on the way; what is missing or changed makes null data."""
-        sound = store.verified(self.data()).where("intact")
-        return store.reassemble(recipes, sound)
+    def restore_bits(self, name: str) -> bytes:
+        """The newest stream of that name, where it fits the driver's memory."""
+        out = io.BytesIO()
+        self.write_bits(name, out)
+        return out.getvalue()
+
+    def _pieces(self, recipes: DataFrame) -> DataFrame:
+        """The recipes' rows with each chunk's bytes as `piece`, null if it is missing or changed. Only chunks that these recipes
+        need are read, and each is opened and verified once."""
+        wanted = self.chunks().join(recipes.select("hash").distinct(), "hash", "left_semi")
+        sound = wanted.select("hash", sound_chunk(self._opened(F.col("payload")), F.col("hash")).alias("data"))
+        return store.pieces(recipes, sound)
 
     # snapshots
 
-    def backup(self, name: str, files: DataFrame, base: str | None = None, bits: int = model.SPLIT_BITS, exclude: tuple[str, ...] = (), at: dt.datetime | None = None) -> str:
-        """Stores a tree given as FILES. base: a snapshot whose unchanged files' content isn't read again."""
+    def backup(self, name: str, files: DataFrame, base: str | None = None, bits: int = model.SPLIT_BITS, exclude: tuple[str, ...] = (), at: dt.datetime | None = None, blocks: Callable[[DataFrame], DataFrame] | None = None) -> str:
+        """Stores a tree given as FILES. base: a snapshot whose unchanged files' content isn't read again.
+
+        blocks: gives (path, block_no, data) of the paths in a frame, and is asked for what is new only (`files.read_blocks`
+        of a tree); `content` isn't looked at then.  Without it contents are those of the column `content`.
+        """
         chunking.check_bits(bits)
         at = at or _now()
         full = f"{name}@{at:%Y%m%d%H%M%S}"
@@ -205,47 +237,60 @@ class Repository:
         current = snapshots.entries(kept)
         if snapshots.duplicate_paths(current).limit(1).count():
             raise ValueError("a path occurs twice")
+        if self.metadata().where(F.col("name") == metadata.BACKUP + full).limit(1).count():
+            raise FileExistsError(full)
         old = self.snapshot(base) if base else self.entries().where("false")
         plan = snapshots.incremental(current, old).withColumn("bits", snapshots.split_bits(F.col("name"), bits)).withColumn("keep", snapshots.storage_of(F.col("kind"), F.col("size")))
-        todo = plan.where("status <> 'unchanged' and keep in ('chunks', 'inline') or kind = 'symlink' and status <> 'unchanged'").select("path", "keep", "bits", "kind")
-        read = todo.join(kept.select("path", "content", "target"), "path").persist()
-        objects = None
-        for b in sorted({r.bits for r in todo.where("keep = 'chunks'").select("bits").distinct().collect()}):  # two at most
-            one = chunking.chunk(read.where((F.col("keep") == "chunks") & (F.col("bits") == b)).withColumn("object_id", F.col("path")), "object_id", "content", b)
-            cut = chunking.hashed(one)
-            self._stored(cut, b)
-            ids = store.merkle_roots(cut, b).select(F.col("object_id").alias("path"), _object_id().alias("object_id"))
-            objects = ids if objects is None else objects.unionByName(ids)
-        if objects is None:
-            objects = self.spark.createDataFrame([], "path string, object_id string")
-        inline = read.where("keep = 'inline' or kind = 'symlink'").select("path", F.coalesce(F.col("content"), F.col("target").cast("binary")).alias("inline"))
+        plan = durable.written(plan, "plan")
+        todo = plan.where("status <> 'unchanged'")
+        if blocks is None:
+            blocks = lambda paths: kept.join(paths.select("path"), "path", "left_semi").select("path", F.lit(0).cast("long").alias("block_no"), F.col("content").alias("data"))
+            whole = F.lit(True)
+        else:
+            whole = F.col("size") <= BLOCK_BYTES
+        objects = self.spark.createDataFrame([], "path string, object_id string")
+        chunked = todo.where("keep = 'chunks'")
+        for r in chunked.select("bits", whole.alias("whole")).distinct().collect():  # four at most
+            mine = chunked.where((F.col("bits") == r.bits) & (whole == r.whole)).select("path")
+            read = blocks(mine).withColumnRenamed("path", "object_id")
+            cut = chunking.chunk(read, "object_id", "data", r.bits) if r.whole else chunking.chunk_data(read, r.bits)
+            ids = self._stored(cut, r.bits, tall=not r.whole)
+            objects = objects.unionByName(ids.select(F.col("object_id").alias("path"), F.col("id").alias("object_id")))
+        inline = blocks(todo.where("keep = 'inline'").select("path")).select("path", F.col("data").alias("inline"))
+        links = kept.where("kind = 'symlink'").select("path", F.col("target").cast("binary").alias("link"))
         reused = old.select("path", F.col("contents").alias("old_contents"), F.col("object_id").alias("old_object"))
-        joined = plan.join(objects, "path", "left").join(inline, "path", "left").join(reused, "path", "left")
+        joined = plan.join(objects, "path", "left").join(inline, "path", "left").join(links, "path", "left").join(reused, "path", "left")
         same = F.col("status") == "unchanged"
         rows = joined.select(
             F.lit(full).alias("snapshot"), "path", "parent", "name", "kind", "mode", "mtime_ns", "size",
-            F.when(same, F.col("old_contents")).otherwise(F.col("inline")).alias("contents"), F.when(same, F.col("old_object")).otherwise(F.col("object_id")).alias("object_id"),
+            F.when(same, F.col("old_contents")).otherwise(F.coalesce("inline", "link")).alias("contents"), F.when(same, F.col("old_object")).otherwise(F.col("object_id")).alias("object_id"),
         )
-        if self.metadata().where(F.col("name") == metadata.BACKUP + full).limit(1).count():
-            raise FileExistsError(full)
         self._append("entries", rows, model.ENTRIES)
-        read.unpersist()
-        root = shake256(full.encode())
+        found = snapshots.root_digests(self._identified(self.entries().where(F.col("snapshot") == full))).first()
+        root = bytes.fromhex(found.digest) if found else shake256(b"")
         self._append("snapshots", [(full, at, bytearray(root), 0)], model.SNAPSHOTS)
+        self._protect()
         self._name(metadata.BACKUP + full, root, at)
         return full
 
+    def _identified(self, entries: DataFrame) -> DataFrame:
+        """Entries with the identity of what they hold."""
+        return entries.withColumn("content_id", F.coalesce("object_id", F.lower(F.hex(hash_bytes("contents"))), F.lit("")))
+
     def snapshot(self, name: str) -> DataFrame:
         """The entries of the newest snapshot of that name."""
         found = self.resolve(metadata.BACKUP + name).name
         return self.entries().where(F.col("snapshot") == found.removeprefix(metadata.BACKUP))
 
-    def restore(self, name: str, below: str = "") -> DataFrame:
-        """FILES of a snapshot, or of one of its paths with all that is below."""
+    def _below(self, name: str, below: str) -> DataFrame:
         rows = self.snapshot(name)
-        if below:
-            rows = rows.where((F.col("path") == below) | F.col("path").startswith(below.strip("/") + "/"))
-        objects = self._objects(self.recipes().join(rows.select("object_id").distinct(), "object_id", "left_semi"))
+        return rows.where((F.col("path") == below) | F.col("path").startswith(below.strip("/") + "/")) if below else rows
+
+    def restore(self, name: str, below: str = "") -> DataFrame:
+        """FILES of a snapshot, or of one of its paths with all that is below, for files that fit a cell; see `restore_tree`."""
+        rows = self._below(name, below)
+        wanted = self.recipes().join(rows.select("object_id").distinct(), "object_id", "left_semi")
+        objects = self._pieces(wanted).groupBy("object_id").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("parts")).select("object_id", store.join_pieces("parts").alias("data"))
         joined = rows.join(objects, "object_id", "left")
         content = snapshots.contents(F.col("kind"), F.col("size"), F.col("contents"), F.col("data"))
         target = F.when(F.col("kind") == "symlink", F.col("contents").cast("string"))
@@ -253,27 +298,104 @@ class Repository:
         done = joined.select("path", "kind", "mode", "mtime_ns", "size", content.alias("content"), target.alias("target"))
         return done.withColumn("content", F.when(lost, F.raise_error(F.concat(F.lit("chunks are missing or changed: "), F.col("path"))).cast("binary")).otherwise(F.col("content")))
 
+    def restored_pieces(self, name: str, below: str = "") -> DataFrame:
+        """(path, mode, mtime_ns, seq, piece) of the regular files of a snapshot, of any size; what is lost is an error."""
+        rows = self._below(name, below).where("kind = 'file'")
+        held = rows.where("object_id is null").select("path", "mode", "mtime_ns", F.lit(0).cast("long").alias("seq"), F.coalesce("contents", F.when(F.col("size") == 0, F.lit(b""))).alias("piece"))
+        recipes = self.recipes().join(rows.select("object_id").distinct(), "object_id", "left_semi")
+        chunks = self._pieces(recipes).select("object_id", "seq", F.col("piece"), F.lit(True).alias("there"))
+        cut = rows.where("object_id is not null").select("path", "mode", "mtime_ns", "object_id").join(chunks.hint("merge"), "object_id", "left").select("path", "mode", "mtime_ns", F.coalesce("seq", F.lit(0)).alias("seq"), "piece")
+        lost = F.raise_error(F.concat(F.lit("chunks are missing or changed: "), F.col("path"))).cast("binary")
+        return held.unionByName(cut).withColumn("piece", F.coalesce("piece", lost))
+
+    def restore_tree(self, name: str, folder: str, below: str = "") -> int:
+        """Writes a snapshot, or a part of it, below a new local folder; files of any size. Returns how many files and links."""
+        rows = self._below(name, below)
+        tree = rows.where("kind <> 'file'").select("path", "kind", "mode", "mtime_ns", "size", F.lit(None).cast("binary").alias("content"), F.when(F.col("kind") == "symlink", F.col("contents").cast("string")).alias("target"))
+        return write_tree(tree, folder, self.restored_pieces(name, below))
+
     def paths(self) -> DataFrame:
         """Every path of every snapshot as a mounted tree shows it: name, year, month, day, time, then the path."""
         return self.entries().select(metadata.hierarchy(F.col("snapshot")).alias("at"), "*").select("at.*", *(c for c in model.ENTRIES.names if c not in ("snapshot", "name")))
 
     # integrity
 
-    def fsck(self) -> DataFrame:
-        """All violations: changed, missing, doubled and unmapped chunks, broken recipes, lost recipes, names that lead nowhere."""
-        chunks, recipes = self.data(), self.recipes()
+    def _files(self, content: bool) -> DataFrame:
+        """The chunk table's files: file, and content if asked for."""
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/chunks")
+        name = F.element_at(F.split("path", "/"), -1).alias("file")
+        return found.select(name, "content") if content else found.select(name, "length")
+
+    def _parity(self) -> DataFrame:
+        return self._table("parity", model.RS_SEGMENTS)
+
+    def protected(self) -> bool:
+        return bool(self.metadata().where("name = 'parity'").limit(1).count())
+
+    def _protect(self) -> None:
+        """Parity of the files that have none yet."""
+        if self.protected():
+            new = self._files(content=True).join(self._parity().select("file").distinct(), "file", "left_anti")
+            self._append("parity", parity.encode(new), model.RS_SEGMENTS)
+
+    def repaired(self) -> DataFrame:
+        """(file, seg, data, hashes, parity, bad) of the chunk table's files as they were; raises beyond repair."""
+        return parity.restore(self._files(content=True), self._parity())
+
+    def fsck_bytes(self) -> int:
+        """What a check reads of the chunk table: bytes of its files, by their lengths."""
+        return self._files(content=False).agg(F.sum("length")).first()[0] or 0
+
+    def fsck(self, most_bytes: int | None = None) -> DataFrame:
+        """All violations: changed, missing, doubled, unneeded and unmapped chunks, files that differ from their parity, broken
+        recipes and identities that aren't those of their recipes, lost recipes, snapshots that aren't those of their entries,
+        names that lead nowhere and names that are no pointers.
+
+        most_bytes: a check that would read more chunk bytes is refused, as reading may cost.
+        """
+        if most_bytes is not None and (cost := self.fsck_bytes()) > most_bytes:
+            raise PermissionError(f"a check reads {cost} bytes of chunks, {most_bytes} are allowed")
+        recipes = self.recipes()
+        backups = metadata.of_kind(self.metadata(), metadata.BACKUP)
         found = [
-            verify.rehash(chunks), verify.missing(recipes, self.chunks()), verify.duplicates(self.chunks()), verify.recipe_gaps(recipes), verify.unknown_objects(self.entries(), recipes),
-            verify.dangling(metadata.of_kind(self.metadata(), metadata.BACKUP), self.snapshots()),
+            verify.rehash(self.data()), verify.missing(recipes, self.chunks()), verify.unneeded(recipes, self.chunks()), verify.duplicates(self.chunks()), verify.recipe_gaps(recipes),
+            verify.unknown_objects(self.entries(), recipes), verify.dangling(backups, self.snapshots()), verify.bad_pointers(backups),
         ]
+        for r in recipes.select("bits").distinct().collect():  # eleven at most
+            found.append(verify.identities(store.tall_roots(recipes.where(F.col("bits") == r.bits), r.bits)))
+        named = self.snapshots().select(F.col("name").alias("snapshot"), F.lower(F.hex("root_hash")).alias("root"))
+        empty = F.lit(shake256(b"").hex())
+        digests = snapshots.root_digests(self._identified(self.entries()).join(named.select("snapshot"), "snapshot", "left_semi"))
+        none = named.join(self.entries().select("snapshot").distinct(), "snapshot", "left_anti").select("snapshot", empty.alias("digest"))
+        found.append(verify.roots(digests.unionByName(none), named))
         if self.key:
             enc = self._table("enc_map", model.ENC_MAP)
             found.append(verify.unmapped(enc, self.chunks().select(hash_bytes("payload").alias("hash"))))
+        if self.protected():
+            found.append(verify.damaged(parity.check(self._files(content=True), self._parity())))
         return verify.union(*found)
 
 
-def _object_id() -> Column:
-    return F.lower(F.hex(store.merkle_bytes(F.col("hash"), F.col("level"))))
+def _some(stream: BinaryIO, size: int, most: int) -> list[bytes]:
+    out = []
+    while len(out) < most and (data := stream.read(size)):
+        out.append(data)
+    return out
+
+
+def _sound(payload: pa.Array, hash: pa.Array) -> pa.Array:
+    out = []
+    for x, h in zip(payload.to_pylist(), hash.to_pylist(), strict=True):
+        try:
+            data = None if x is None else unpack_gzip(x)
+        except (ValueError, zlib.error):
+            data = None
+        out.append(data if data is not None and shake256(data) == h else None)
+    return pa.array(out, pa.binary())
+
+
+#: A chunk's bytes from its payload, null if they don't have the hash.
+sound_chunk = F.arrow_udf(_sound, T.BinaryType())
 
 
 def _now() -> dt.datetime:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.durable import exists, written
+from siltstone.model import MIN_CHUNK, WINDOW
 from siltstone.operators import chunking, store
 from siltstone.session import importable
 
@@ -24,12 +26,11 @@ def ingest(stream: DataFrame, key: str, data: str, bits: int, folder: str, check
     spark = importable(stream.sparkSession)
 
     def land(batch: DataFrame, number: int) -> None:
-        cut = chunking.hashed(chunking.chunk(batch, key, data, bits)).persist()
+        cut = written(chunking.hashed(chunking.chunk(batch, key, data, bits)), "batch")
         known = read(spark, folder, "chunks").where(F.col("batch") != number)
         new = store.new_chunks(cut.select("hash", "length", "data"), known)
         new.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
         cut.select(F.col(key).cast("string").alias("object_id"), "seq", "hash", "offset", "length").write.mode("overwrite").parquet(f"{folder}/recipes/batch={number}")
-        cut.unpersist()
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -40,43 +41,62 @@ SCHEMAS = {"chunks": "hash binary, length long, data binary, batch long", "recip
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """What has landed so far; an empty table before the first batch."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, f"{folder}/{table}"):
         return spark.createDataFrame([], SCHEMAS[table])
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")
 
 
+STATE = "number long, start long, base long, high int, left int, tail binary"
+
+
 def chunk_streams(stream: DataFrame, bits: int, stream_id: str = "stream_id", seq: str = "seq", data: str = "data") -> DataFrame:
-    """(stream_id, seq, offset, length, data, hash is up to the caller) of the chunks of endless byte streams that come in pieces.
+    """(stream_id, seq, start, offset, data, closes): the chunks of endless byte streams that come in pieces, as parts.
 
-    A row with null data ends its stream and gives out the last, short chunk.  What is kept between batches is the
-    open chunk only.
+    A part is what one batch has of a chunk (number `seq`, which begins at `start`); `closes` says that it is the chunk's
+    last; `parts_of` puts chunks together.  A row with null data ends its stream, and with it the open chunk.  What is
+    kept between batches is the last 63 bytes and a few numbers, and every byte is looked at once: a stream without any
+    cut costs no more than others.
     """
     importable(stream.sparkSession)
+    chunking.check_bits(bits)
     kind = stream.schema[stream_id].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, offset, rest = state.get if state.exists else (0, 0, b"")
-        rest, ended = bytes(rest), False
-        pieces = pd.concat(list(frames)).sort_values(seq)
-        for x in pieces[data]:
-            ended = ended or x is None
-            rest += bytes(x or b"")
-        ends = chunking.cuts(rest, bits)
-        closed = ends if ended else ends[:-1]  # the last may still grow
-        out, last = [], 0
-        for e in np.asarray(closed).tolist():
-            out.append((key[0], number, offset + last, e - last, rest[last:e]))
-            number, last = number + 1, e
+        number, start, base, high, left, tail = state.get if state.exists else (0, 0, 0, 0, 0, b"")
+        pieces = pd.concat(list(frames)).sort_values(seq)[data].tolist()
+        ended, new, tail = any(x is None for x in pieces), b"".join(bytes(x or b"") for x in pieces), bytes(tail)
+        whole = np.frombuffer(tail + new, np.uint8)
+        # places are counted from where the tail begins
+        origin = base - len(tail)
+        before = high - int((whole[: len(tail)] >= 225).sum())
+        found = chunking.candidates(whole, bits, before)
+        upto = np.concatenate([[0], np.cumsum(whole >= 225)]) + before
+        out, at, end = [], base, base + len(new)
+        while True:
+            places = found[left if bits > 14 else 0]
+            k = int(np.searchsorted(places, max(start + MIN_CHUNK, base + 1) - origin))
+            if k == len(places):
+                break
+            to = int(places[k]) + origin
+            out.append((key[0], number, start, at, new[at - base : to - base], True))
+            number, start, at, left = number + 1, to, to, int(upto[to - origin]) % 4
+        if at < end or (ended and start < end):
+            out.append((key[0], number, start, at, new[at - base :], ended))
         if ended:
             state.remove()
         else:
-            state.update((number, offset + last, rest[last:]))
-        yield pd.DataFrame(out, columns=[stream_id, "seq", "offset", "length", "data"])
+            state.update((number, start, end, int(upto[-1]) % 4, left, (tail + new)[-(WINDOW - 1) :]))
+        yield pd.DataFrame(out, columns=[stream_id, "seq", "start", "offset", "data", "closes"])
+
+    out = f"{stream_id} {kind}, seq long, start long, offset long, data binary, closes boolean"
+    return stream.select(stream_id, seq, data).groupBy(stream_id).applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.NoTimeout)
+
 
-    return stream.select(stream_id, seq, data).groupBy(stream_id).applyInPandasWithState(
-        step, f"{stream_id} {kind}, seq long, offset long, length long, data binary", "number long, offset long, rest binary", "append", GroupStateTimeout.NoTimeout
-    )
+def parts_of(parts: DataFrame, stream_id: str = "stream_id") -> DataFrame:
+    """(stream_id, seq, offset, length, data) of the chunks that are closed, from what `chunk_streams` gave so far."""
+    held = parts.groupBy(stream_id, "seq", "start").agg(F.sort_array(F.collect_list(F.struct("offset", F.col("data").alias("piece")))).alias("parts"), F.bool_or("closes").alias("closed"))
+    whole = held.where("closed").select(stream_id, "seq", F.col("start").alias("offset"), store.join_pieces("parts").alias("data"))
+    return whole.select(stream_id, "seq", "offset", F.octet_length("data").cast("long").alias("length"), "data")
 
 
 def progress(query: StreamingQuery) -> dict[str, float]:

@@ -38,8 +38,72 @@ def test_a_byte_stream_in_pieces(spark, tmp_path):
     stream = ingest.limited(spark.readStream.schema("stream_id string, seq long, data binary"), 1).parquet(str(tmp_path / "in"))
     query = ingest.chunk_streams(stream, 10).writeStream.format("memory").queryName("pieces").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
-    got = sorted((r.seq, r.offset, r.length, bytes(r.data)) for r in spark.table("pieces").where("stream_id = 's'").collect())
+    chunks = ingest.parts_of(spark.table("pieces"))
+    got = sorted((r.seq, r.offset, r.length, bytes(r.data)) for r in chunks.where("stream_id = 's'").collect())
     ends = chunking.cuts(data, 10).tolist()
     assert [g[1] + g[2] for g in got] == ends and b"".join(g[3] for g in got) == data
-    left = sorted((r.offset + r.length) for r in spark.table("pieces").where("stream_id = 'open'").collect())
+    left = sorted((r.offset + r.length) for r in chunks.where("stream_id = 'open'").collect())
     assert left == chunking.cuts(data[:16_000], 10).tolist()[:-1]
+
+
+class State:
+    """What Spark keeps of a group, for steps outside of a query."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+
+def stepped(spark, monkeypatch, bits, batches):
+    """Runs the step of `chunk_streams` over batches of pieces; the parts, and the largest state."""
+    import pandas as pd
+    from pyspark.sql import DataFrame
+
+    kept = {}
+    grouped = type(spark.createDataFrame([], "s string").groupBy("s"))
+    monkeypatch.setattr(grouped, "applyInPandasWithState", lambda self, f, *a: kept.setdefault("f", f) and None)
+    ingest.chunk_streams(spark.createDataFrame([], "stream_id string, seq long, data binary"), bits)
+    state, out, most = State(), [], 0
+    for k, pieces in enumerate(batches):
+        frame = pd.DataFrame({"stream_id": "s", "seq": range(len(pieces)), "data": pieces})
+        for got in kept["f"](("s",), iter([frame]), state):
+            out += got.itertuples(index=False)
+        most = max(most, len(state.value[-1]) if state.value else 0)
+    assert DataFrame
+    return out, most
+
+
+def joined_parts(parts):
+    whole = {}
+    for p in parts:
+        assert p.offset == p.start + len(whole.get(p.seq, b""))
+        whole[p.seq] = whole.get(p.seq, b"") + p.data
+    return [whole[k] for k in sorted(whole)]
+
+
+def test_any_pieces_give_the_same_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    for bits, data in ((8, rng.integers(0, 256, 40_000, np.uint8).tobytes()), (15, rng.integers(190, 256, 60_000, np.uint8).tobytes()), (16, rng.integers(200, 256, 90_000, np.uint8).tobytes())):
+        places = np.sort(rng.integers(0, len(data), 60))
+        batches = [[data[a:b]] for a, b in zip([0, *places], [*places, len(data)], strict=True)] + [[b"", None]]
+        parts, most = stepped(spark, monkeypatch, bits, batches)
+        ends = chunking.cuts(data, bits).tolist()
+        assert [len(x) for x in joined_parts(parts)] == np.diff([0, *ends]).tolist() and b"".join(joined_parts(parts)) == data and most <= 63
+        assert sum(p.closes for p in parts) == len(ends)
+
+
+def test_a_stream_without_cuts_is_linear(spark, monkeypatch):
+    """300 batches of one value: the state stays small, and what is looked at is each batch with the 63 bytes before it."""
+    seen, plain = [], chunking.candidates
+    monkeypatch.setattr(chunking, "candidates", lambda x, *a: seen.append(len(x)) or plain(x, *a))
+    parts, most = stepped(spark, monkeypatch, 14, [[bytes(2000)]] * 300 + [[None]])
+    assert most <= 63 and sum(seen) <= 300 * 2063 + 63
+    assert [len(x) for x in joined_parts(parts)] == [600_000] and [p.closes for p in parts].count(True) == 1
