@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.durable import scratch, written
 from siltstone.functions import binary
 from siltstone.model import INCOMPRESSIBLE
 from siltstone.operators import chunking, metadata, parity, snapshots, store, verify
@@ -156,7 +154,10 @@ def chunk_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) > 0")
 def pack_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as pack and index files, both read back and joined."""
-    rows = read(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", F.concat(F.lit("p"), "source").alias("pack"), F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("data"))
+    docs = read(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", "source", F.col("text").cast("binary").alias("data"))
+    places = store.assign_packs(docs.select("doc_id", "source", F.octet_length("data").cast("long").alias("length")), ["doc_id"], "source", 1 << 20)
+    places = places.select(F.col("doc_id").alias("seq"), F.concat_ws("-", "source", F.col("pack").cast("string")).alias("pack"))
+    rows = docs.join(places, F.col("doc_id") == F.col("seq")).select("doc_id", "pack", "seq", "data")
     packs = store.encode_packs(rows)
     index = store.read_index(packs).select(F.col("pack_name").alias("pack"), "offset", F.col("hash").alias("id")).dropDuplicates(["pack", "offset"])
     blobs = store.read_packs(packs).join(index, ["pack", "offset"]).where(binary.hash_bytes("data") == F.col("id"))
@@ -178,7 +179,7 @@ def varint_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE strlen(text) > 0")
 def recipe_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents put together again from distinct chunks that were verified."""
-    cut = chunking.hashed(chunks(spark, sf_dir))
+    cut = written(chunking.hashed(chunks(spark, sf_dir)), "cut")
     sound = store.verified(cut.select("hash", "data").dropDuplicates(["hash"])).where("intact")
     back = store.reassemble(cut.select("doc_id", "seq", "hash"), sound, "doc_id")
     return back.select("doc_id", F.sha2("data", 256).alias("hash"), F.octet_length("data").cast("long").alias("length"))
@@ -192,6 +193,16 @@ def merkle_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", binary.hex_of(F.col("wire")).alias("wire"), parsed["level"].cast("long").alias("level"), binary.hex_of(parsed["hash"]).alias("hash"))
 
 
+@query("SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS seq, sha256(text) AS hash FROM documents")
+def merkle_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of each source's documents, put together, cut into nodes of 100 bytes, and expanded again."""
+    rows = read(spark, sf_dir, "documents").select("source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("i"), F.unhex(digest()).alias("hash"))
+    parts = rows.select("source", "i", "hash", F.explode(F.expr("sequence(32 * i div 100, (32 * i + 31) div 100)")).alias("seq"))
+    piece = F.expr("substring(hash, cast(greatest(100 * seq - 32 * i, 0) + 1 as int), cast(100 * seq + 100 - greatest(32 * i, 100 * seq) as int))")
+    nodes = parts.groupBy("source", "seq").agg(F.sort_array(F.collect_list(F.struct("i", piece.alias("piece")))).alias("parts")).select("source", "seq", store.join_pieces("parts").alias("data"))
+    return store.expand_level(nodes, "source").select("source", "seq", binary.hex_of(F.col("hash")).alias("hash"))
+
+
 @query()
 def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of every document; interior nodes are cut as data is."""
@@ -308,12 +319,50 @@ def path_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contents from where they are kept: in the entry, nowhere (empty), or in chunks."""
     rows = files(spark, sf_dir).withColumn("keep", snapshots.storage_of(F.col("kind"), F.col("size"))).withColumn("content", F.col("text").cast("binary"))
-    cut = chunking.hashed(chunking.chunk(rows.where("keep = 'chunks'"), "path", "content", BITS))
+    cut = written(chunking.hashed(chunking.chunk(rows.where("keep = 'chunks'"), "path", "content", BITS)), "cut")
     joined = store.reassemble(cut.select("path", "seq", "hash"), cut.select("hash", "data").dropDuplicates(["hash"]), "path").withColumnRenamed("data", "joined")
     held = rows.select("path", "kind", "size", F.when(F.col("keep") == "inline", F.col("content")).alias("inline")).join(joined, "path", "left")
     return held.select("path", F.sha2(snapshots.contents(F.col("kind"), F.col("size"), F.col("inline"), F.col("joined")), 256).alias("hash"))
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files as a snapshot for each source, with the identity of each file's content."""
+    every, held = snapshots.entries(files(spark, sf_dir)), files(spark, sf_dir).select("path", digest().alias("content_id"))
+    return every.join(held, "path", "left").withColumn("snapshot", F.split("path", "/")[0])
+
+
+def _sha(data):  # noqa: ANN001, ANN202
+    return F.unhex(F.sha2(data, 256))
+
+
+def _rolled(level: str) -> str:
+    return f"""SELECT snapshot, parent AS path, sha256(string_agg(d, '' ORDER BY part)) AS children FROM (SELECT snapshot, parent, substr(digest, 1, 3) AS part, sha256(string_agg(digest, '' ORDER BY digest)) AS d FROM {level} GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query(f"""WITH {sql.FILES}, a AS (SELECT source AS snapshot, source || '/' || lang AS parent, sha256(concat_ws('|', 'file', CAST(mode AS VARCHAR), CAST(mtime_ns AS VARCHAR), CAST(size AS VARCHAR), sha256(text), regexp_extract(path, '([^/]*)$', 1))) AS digest FROM files),
+ra AS ({_rolled('a')}), b AS (SELECT snapshot, snapshot AS parent, sha256('dir|2147484141||0|' || children || '|' || split_part(path, '/', 2)) AS digest FROM ra),
+rb AS ({_rolled('b')}), c AS (SELECT snapshot, '' AS parent, sha256('dir|2147484141||0|' || children || '|' || path) AS digest FROM rb),
+rc AS ({_rolled('c')}) SELECT snapshot, children AS digest FROM rc""")
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of each source's tree, rolled up from its entries."""
+    return snapshots.root_digests(_trees(spark, sf_dir), hasher=_sha)
+
+
+@query("""SELECT DISTINCT 'root' AS "check", source AS object, '' AS detail FROM documents WHERE source = 'src3'""")
+def root_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees that aren't those whose roots are known: the size of each entry of one source was changed."""
+    known = snapshots.root_digests(_trees(spark, sf_dir), hasher=_sha).withColumnRenamed("digest", "root")
+    hurt = _trees(spark, sf_dir).withColumn("size", F.when(F.col("snapshot") == "src3", F.col("size") + 1).otherwise(F.col("size")))
+    return verify.roots(snapshots.root_digests(hurt, hasher=_sha), known)
+
+
+@query(f"""WITH {sql.FILES}, idx AS (SELECT sha256(text) AS hash FROM files) SELECT DISTINCT 'orphan' AS "check", sha256(text) AS object, '' AS detail FROM files WHERE sha256(text) NOT IN (SELECT sha256(text) FROM files WHERE lang <> 'fr')""")
+def unneeded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored blobs that no recipe needs once one language is gone."""
+    rows = files(spark, sf_dir).select("lang", F.unhex(digest()).alias("hash"))
+    return verify.unneeded(rows.where("lang <> 'fr'"), rows.select("hash"))
+
+
 # names
 
 
@@ -482,6 +531,12 @@ def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity.check(*_damaged(spark, sf_dir), **RS)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, CAST(0 AS BIGINT) AS seg, CAST(1 AS BIGINT) AS bad FROM documents WHERE source = 'src3' AND strlen(text) > 0")
+def damaged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shards of each segment were changed."""
+    return parity.corrupt_shards(parity.check(*_damaged(spark, sf_dir), **RS))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS file, sha256(text) AS hash, CAST(CASE WHEN source = 'src3' THEN 1 ELSE 0 END AS BIGINT) AS bad FROM documents WHERE strlen(text) > 0")
 def parity_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files as they were."""
@@ -498,7 +553,7 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first report again, from documents that came as a stream."""
     from siltstone.streaming import ingest
 
-    folder = _folder(spark)
+    folder = scratch(spark, "stream")
     source = read(spark, sf_dir, "documents").select("doc_id", "text")
     stream = spark.readStream.schema(read(spark, sf_dir, "documents").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).parquet(_stream_folder(spark, sf_dir)).select(source.columns)
     ingest.ingest(stream, "doc_id", "text", BITS, f"{folder}/landed", f"{folder}/checkpoint").awaitTermination()
@@ -506,18 +561,8 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.dedup_report(recipes.select("hash", "length"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state in the folder that driver and executors share; a temporary one in local runs."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/siltstone-stream-{uuid.uuid4().hex}"
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="siltstone-stream-")
-
-
 def _stream_folder(spark: SparkSession, sf_dir: str) -> str:
     """Streams read folders: where the table is one file, it is written to a folder first."""
-    folder = f"{_folder(spark)}/documents"
-    read(spark, sf_dir, "documents").write.mode("overwrite").parquet(folder)
+    folder = scratch(spark, "stream-source")
+    read(spark, sf_dir, "documents").write.parquet(folder)
     return folder

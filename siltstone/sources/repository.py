@@ -227,8 +227,9 @@ class Repository:
     def backup(self, name: str, files: DataFrame, base: str | None = None, bits: int = model.SPLIT_BITS, exclude: tuple[str, ...] = (), at: dt.datetime | None = None, blocks: Callable[[DataFrame], DataFrame] | None = None) -> str:
         """Stores a tree given as FILES. base: a snapshot whose unchanged files' content isn't read again.
 
-        blocks: gives (path, block_no, data) of the paths in a frame, and is asked for what is new only (`files.read_blocks`
-        of a tree); `content` isn't looked at then.  Without it contents are those of the column `content`.
+        blocks: gives (path, block_no, data) of the paths in a frame, files of up to BLOCK_BYTES as one block, and is asked for
+        what is new only (`files.read_blocks` of a tree); `content` isn't looked at then.  Without it contents are those of the
+        column `content`.
         """
         chunking.check_bits(bits)
         at = at or _now()
