@@ -1,33 +1,13 @@
-"""Cutting lineage so that the loss of an executor never loses results: everything goes to the shared folder."""
+"""Where the operators keep intermediate tables (siltstone.durable), and how many rows an Arrow batch of theirs holds."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from siltstone.durable import cut, folder, scratch, written
 from siltstone.session import importable
 
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a temporary one where it is unset (local runs and tests)."""
-    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if set_by_cluster:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(set_by_cluster)
-        return set_by_cluster
-    own = context._jsc.sc().getCheckpointDir()
-    if not own.isDefined():
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        own = context._jsc.sc().getCheckpointDir()
-    return own.get()
-
+__all__ = ["bounded", "cut", "folder", "scratch", "written"]
 
 #: Rows in one Arrow batch; texts may be long, and both sides hold whole batches.
 BATCH_ROWS = 1000
@@ -40,29 +20,3 @@ def bounded(spark: SparkSession) -> SparkSession:
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
     return spark
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed once and read from the shared folder from now on; Spark's cleaner deletes it when it is unused."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the program ends."""
-    path = f"{folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, deleted when the program ends."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
