@@ -10,7 +10,7 @@ documents of their length, and ranks come from counts by partition: no group is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +119,24 @@ def plan(counts: dict[int, int], capacity: Capacity = Capacity()) -> list[tuple[
     return [(b.many, b.holds) for b in bins]
 
 
+def tightened(counts: dict[int, int], capacity: Capacity = Capacity()) -> Capacity:
+    """The capacity with its documents and cost no larger than the fullest sequence takes, and then halved for as long as
+    no sequence more is needed and every length still fits: sequences hold documents of like number and cost."""
+    if not counts:
+        return capacity
+    bins = plan(counts, capacity)
+    need = sum(m for m, _ in bins)
+    taken = {"documents": max(sum(k for _, k in h) for _, h in bins), "cost": max(sum(n * n * k for n, k in h) for _, h in bins)}
+    for name, least in (("documents", 1), ("cost", max(counts) ** 2)):
+        capacity = replace(capacity, **{name: min(getattr(capacity, name), taken[name])})
+        while (half := getattr(capacity, name) // 2) >= least:
+            closer = replace(capacity, **{name: half})
+            if sum(m for m, _ in plan(counts, closer)) > need:
+                break
+            capacity = closer
+    return capacity
+
+
 @dataclass(frozen=True)
 class Places:
     """Where the documents of each length go by rank; sorted by length and first rank."""
@@ -151,9 +169,11 @@ class Places:
         return self.sequence[at] + q % self.many[at], self.offset[at] + q // self.many[at] * length
 
 
-def pack(df: DataFrame, capacity: Capacity = Capacity(), length: str = "length") -> DataFrame:
+def pack(df: DataFrame, capacity: Capacity = Capacity(), length: str = "length", tighten: bool = False) -> DataFrame:
     """Adds sequence_id and offset to every row; rows of no, null or negative length get nulls and take no place.
 
+    tighten: documents and cost of a sequence are held as low as they can be without a sequence more (`tightened`).
+
     Within a sequence documents follow one another without gaps.  Repeated rows are documents of their own, an empty
     table gives an empty one, and a row longer than a sequence is an error.  Columns of the added names are replaced.
     """
@@ -166,7 +186,8 @@ def pack(df: DataFrame, capacity: Capacity = Capacity(), length: str = "length")
     if by_part.where(F.col(f"{own}length") > capacity.tokens).limit(1).count():
         raise ValueError(f"a document has more than {capacity.tokens} tokens: cut it first")
     found = by_part.groupBy(f"{own}length").agg(F.sum("count").alias("n")).collect()  # a row for each length: bounded by the capacity
-    places = Places.of(plan({r[0]: r.n for r in found if r[0] > 0}, capacity))
+    counts = {r[0]: r.n for r in found if r[0] > 0}
+    places = Places.of(plan(counts, tightened(counts, capacity) if tighten else capacity))
     # the rank of a row among those of its length: those of earlier partitions, and the earlier ones of its own
     inside = F.row_number().over(Window.partitionBy(f"{own}part", f"{own}length").orderBy(f"{own}row")) - 1
     table = table.withColumn(f"{own}rank", inside.cast("long"))
@@ -186,4 +207,5 @@ def pack(df: DataFrame, capacity: Capacity = Capacity(), length: str = "length")
                     o[some] = x
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(o, mask=~some) for o in out)], schema.names)
 
-    return table.join(firsts, [f"{own}part", f"{own}length"]).mapInArrow(place, schema)
+    # `firsts` grows with the partitions: it meets the rows where the window has them already, and isn't broadcast
+    return table.join(firsts.hint("merge"), [f"{own}part", f"{own}length"]).mapInArrow(place, schema)

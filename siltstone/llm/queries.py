@@ -78,9 +78,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces in as few sequences of 4096 tokens as best fit finds."""
+    """Every document's pieces in as few sequences of 4096 tokens as best fit finds, with as few documents in each as that allows."""
     cut = packing.pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), tighten=True)
 
 
 @query

@@ -74,6 +74,19 @@ def test_every_constraint(c):
     assert len(check_places(rows, c.tokens)) == sum(m for m, _ in bins)
 
 
+def test_tightened_capacities_bind_without_a_sequence_more():
+    rng = np.random.default_rng(3)
+    counts = {int(n): int(k) for n, k in zip(*np.unique(np.minimum(rng.geometric(0.02, 5000), 60), return_counts=True))}
+    loose = Capacity(100, 100, 100**2)
+    close, need = packing.tightened(counts, loose), sum(m for m, _ in plan(counts, loose))
+    assert close.documents < loose.documents and sum(m for m, _ in plan(counts, close)) <= need
+    assert all(sum(k for _, k in h) <= close.documents and sum(n * n * k for n, k in h) <= close.cost for _, h in plan(counts, close))
+    for name in ("documents", "cost"):
+        half = packing.replace(close, **{name: getattr(close, name) // 2})
+        assert half.cost < max(counts) ** 2 or sum(m for m, _ in plan(counts, half)) > need
+    assert packing.tightened({}, loose) == loose
+
+
 def test_plan_is_bounded_by_the_lengths_not_the_documents():
     bins = plan({n: 10**9 + n for n in range(1, 1025)}, Capacity(1024, 1024, 1024**2))
     assert len(bins) <= 3 * 1024 and sum(m * sum(n * k for n, k in h) for m, h in bins) == sum(n * (10**9 + n) for n in range(1, 1025))
