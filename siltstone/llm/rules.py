@@ -4,7 +4,8 @@ The location and scatter of each group are minimum-covariance-determinant estima
 scales, concentration steps take the half of the rows with the smallest distances and estimate anew until that
 settles; the start with the smaller determinant wins, and all rows near its estimate are then estimated from.  All
 rows take part; each step is one pass that sums moments by group and band of distance, so no group has to be in one
-place.  Of the band in which the half is reached, rows count by the share that is still wanted.
+place.  Of the band in which the half is reached, rows count by the share that is still wanted.  A group's estimate is
+drawn towards that of its language, and the language's towards that of all rows, the more the fewer rows it has.
 """
 
 from __future__ import annotations
@@ -202,31 +203,55 @@ def fit_mcd(stats: DataFrame, names: list[str], by: list[str], floors: dict[str,
     return written(sums.groupBy("group").applyInPandas(reweigh, "group string, n long, mean array<double>, inverse array<double>"), "mcd")
 
 
-def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), tail: float = 1e-4, least_rows: int = 100, floors: dict[str, float] = FLOORS, share: float = 0.5, steps: int = 12) -> DataFrame:
+def drawn(model: DataFrame, levels: int, borrow: float) -> DataFrame:
+    """(group, mean, inverse) of the groups of the last level: each estimate is mixed with that of the group which it is part of
+    (mixed likewise before), as if that had `borrow` rows of the group."""
+    schema = "group string, mean array<double>, inverse array<double>"
+    names = ", ".join(["level int", *(f"k{i} string" for i in range(levels))])
+
+    def mix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            means, inverses = [], []
+            for n, m, v, m0, v0 in zip(b["n"], b["mean"], b["inverse"], b["mean0"], b["inverse0"], strict=True):
+                m, m0 = np.array(m), np.array(m0)
+                w, p = n / (n + borrow), len(m)
+                own, other = (np.linalg.inv(np.reshape(x, (p, p))) for x in (v, v0))
+                means.append(w * m + (1 - w) * m0)
+                inverses.append(np.linalg.inv(w * own + (1 - w) * other + w * (1 - w) * np.outer(m - m0, m - m0)).ravel())
+            yield pd.DataFrame({"group": b["group"], "mean": means, "inverse": inverses})
+
+    at = lambda k: model.where(F.col("group").startswith(f'{{"level":{k}'))
+    former, every = at(0).select("group", "mean", "inverse"), at(0).first()
+    for k in range(1, levels + 1):
+        if k == 1:  # one row for all: literals, as wide as the statistics
+            met = at(1).withColumns({f"{c}0": F.array(*map(F.lit, every[c])) for c in ("mean", "inverse")} if every else {f"{c}0": F.col(c) for c in ("mean", "inverse")})
+        else:
+            key = F.from_json("group", names)
+            part_of = F.to_json(F.struct(F.lit(k - 1).alias("level"), *(key[f"k{i}"].alias(f"k{i}") for i in range(k - 1))))
+            of = former.select(F.col("group").alias("part_of"), F.col("mean").alias("mean0"), F.col("inverse").alias("inverse0"))
+            met = at(k).withColumn("part_of", part_of).join(of, "part_of")
+        former = met.mapInPandas(mix, schema)
+    return former
+
+
+def judge(stats: DataFrame, by: tuple[str, ...] = ("lang", "source"), tail: float = 1e-4, borrow: float = 50.0, floors: dict[str, float] = FLOORS, share: float = 0.5, steps: int = 12) -> DataFrame:
     """Adds `base_failed`, `distance` (squared) and `kept` to the rows of `statistics`.
 
     A row is kept if it passes the base limits and its distance is within all but the tail of the chi-square
-    distribution.  The estimate is that of the row's language and source if at least `least_rows` rows that pass the
-    base limits have these, else the language's, else that of all rows.  Null and empty texts have no words and fail
-    the base limits; null languages and sources are groups of their own; repeated rows are judged alike; an empty
-    table, or one where no row passes the base limits, has no verdict beyond the base.  Columns of the added names
-    are replaced.  `stats` is read once for each estimate of the groups and once for the verdicts.
+    distribution.  The estimate is that of the row's language and source, drawn towards the language's and that of all
+    rows as by `borrow` rows of these.  Null and empty texts have no words and fail the base limits; null languages
+    and sources are groups of their own; repeated rows are judged alike; an empty table, or one where no row passes
+    the base limits, has no verdict beyond the base, and rows of a group that has none such have no distance.  Columns
+    of the added names are replaced.  `stats` is read once for the estimates and once for the verdicts.
     """
     added = ["base_failed", "distance", "kept"]
     carried = [c for c in stats.columns if c not in added]
     names, values, own = list(floors), transformed(), "siltstone_mcd_"
     passed = stats.where(~base_failed()).select(*by, *(values[n].alias(n) for n in names))
     model = fit_mcd(written(passed, "statistics"), names, list(by), floors, share, steps)
-    table, levels = stats, range(len(by), -1, -1)
-    for k in levels[:-1]:
-        at = model.where((F.col("n") >= least_rows) & F.col("group").startswith(f'{{"level":{k}'))
-        at = at.select(F.col("group").alias(f"{own}g{k}"), F.struct("mean", "inverse").alias(f"{own}m{k}"))
-        table = table.withColumn(f"{own}g{k}", _key(list(by[:k]))).join(at, f"{own}g{k}", "left")
-    # one row for all: a literal, as wide as the statistics
-    every = model.where(F.col("group").startswith('{"level":0')).first()
-    flat = lambda values: F.array(*map(F.lit, values))
-    whole = F.struct(flat(every.mean).alias("mean"), flat(every.inverse).alias("inverse")) if every else F.lit(None).cast("struct<mean: array<double>, inverse: array<double>>")
-    table = table.withColumns({f"{own}{n}": values[n] for n in names} | {f"{own}model": F.coalesce(*(F.col(f"{own}m{k}") for k in levels[:-1]), whole)})
+    model = written(drawn(model, len(by), borrow), "drawn").select(F.col("group").alias(f"{own}group"), F.struct("mean", "inverse").alias(f"{own}model"))
+    table = stats.withColumn(f"{own}group", _key(list(by))).join(model, f"{own}group", "left")
+    table = table.withColumns({f"{own}{n}": values[n] for n in names})
     far = distance([f"{own}{n}" for n in names], f"{own}model.mean", f"{own}model.inverse")
     table = table.withColumn(f"{own}far", far).withColumn(f"{own}failed", base_failed())
     fine = ~F.col(f"{own}failed") & (F.coalesce(F.col(f"{own}far"), F.lit(0.0)) <= chi2_quantile(len(names), 1 - tail))

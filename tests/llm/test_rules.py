@@ -1,4 +1,6 @@
+import json
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -83,6 +85,41 @@ def test_estimate_resists_a_third_of_outliers(spark, spread):
     assert far(bad).all() and far(good).mean() < 0.005
 
 
+def test_small_groups_are_drawn_to_larger_ones(spark):
+    """The mix of moments as if the larger group had so many rows of the smaller one, level by level, without a step in size."""
+    rng = np.random.default_rng(9)
+    groups = {("en", "a"): (2000, 0.0), ("en", "b"): (10, 4.0), ("en", None): (1, 9.0), (None, "a"): (300, -2.0)}
+    rows = [(*k, float(x), float(y)) for k, (n, at) in groups.items() for x, y in rng.normal(at, 1, (n, 2))]
+    model = rules.fit_mcd(spark.createDataFrame(rows, "lang string, source string, x double, y double"), ["x", "y"], ["lang", "source"], {"x": 0.1, "y": 0.1}).cache()
+    own = {r.group: (r.n, np.array(r.mean), np.linalg.inv(np.reshape(r.inverse, (2, 2)))) for r in model.collect()}
+    got = {r.group: (np.array(r.mean), np.linalg.inv(np.reshape(r.inverse, (2, 2)))) for r in rules.drawn(model, 2, 50).collect()}
+
+    def mixed(group, of):
+        n, m, s = own[group]
+        w, (m0, s0) = n / (n + 50), of
+        return w * m + (1 - w) * m0, w * s + (1 - w) * s0 + w * (1 - w) * np.outer(m - m0, m - m0)
+
+    key = lambda **k: json.dumps({"level": len(k), **{a: v for a, v in k.items() if v}}, separators=(",", ":"))
+    every = own[key()][1:]
+    for (lang, source), (n, _) in groups.items():
+        m, s = mixed(key(k0=lang, k1=source), mixed(key(k0=lang), every))
+        assert own[key(k0=lang, k1=source)][0] == n
+        assert np.allclose(got[key(k0=lang, k1=source)][0], m) and np.allclose(got[key(k0=lang, k1=source)][1], s)
+    assert len(got) == len(groups)
+
+
+def test_estimate_is_near_the_least_determinant(spark):
+    """Against all halves of a small group: the determinant is little larger, the outliers are the same."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.multivariate_normal([0, 0], [[1, 0.5], [0.5, 1]], 11), rng.normal(12, 0.3, (3, 2))])
+    (r,) = rules.fit_mcd(spark.createDataFrame([[float(v) for v in p] for p in x], ["x", "y"]), ["x", "y"], [], {"x": 0.01, "y": 0.01}).collect()
+    best = min(combinations(range(len(x)), 7), key=lambda c: np.linalg.det(np.cov(x[list(c)].T)))
+    m, s = x[list(best)].mean(0), np.cov(x[list(best)].T)
+    plain = np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(s), x - m)
+    ours = np.einsum("ni,ij,nj->n", x - r.mean, np.reshape(r.inverse, (2, 2)), x - r.mean)
+    assert set(np.argsort(plain)[-3:]) == set(np.argsort(ours)[-3:]) == {11, 12, 13} and ours[11:].min() > 3 * ours[:11].max()
+
+
 def test_estimate_of_clean_rows_is_consistent(spark):
     rng = np.random.default_rng(6)
     cov = np.array([[1.0, 0.6], [0.6, 2.0]])
