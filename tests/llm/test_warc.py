@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import html, queries, warc
@@ -14,7 +16,7 @@ def test_query_against_plain_python(spark, sf):
         payload = "sha256:" + hashlib.sha256(p.html.encode()).hexdigest()
         assert meta.refers_to == text.refers_to and meta.record_id != text.record_id and meta.refers_to.startswith("<urn:uuid:")
         assert {meta.payload_digest, text.payload_digest} == {payload} and meta.target_uri == text.target_uri == p.url
-        plain = "\n".join(b.text for b in html.blocks(p.html, frozenset())).encode()
+        plain = "\n".join(b.text for b in html.blocks(p.html)).encode()
         assert text.block_digest == "sha256:" + hashlib.sha256(plain).hexdigest() and text.content_length == len(plain)
         own = f"source-record-id: {meta.refers_to}\r\nsource-payload-digest: {payload}\r\nsource-uri: {p.url}\r\n{meta.source_headers}".encode()
         assert meta.block_digest == "sha256:" + hashlib.sha256(own).hexdigest()
@@ -45,6 +47,27 @@ def test_broken_files_are_refused():
         raise AssertionError(bad)
 
 
+def test_line_ends_in_targets_make_no_headers(spark):
+    """A URL that brings its own line ends stays one header, of the record and in the metadata block."""
+    df = spark.createDataFrame([(1, "http://x/\r\nWARC-Type: evil\r\n\r\nx", "<p>a", "2024-01-02T03:04:05Z")], "page_id long, url string, html string, day string")
+    source = warc.responses(df, key="page_id", date=F.col("day"))
+    made = source.drop("payload").unionByName(warc.derivatives(source))
+    for r in made.select("warc_type", warc.serialised(made).alias("x")).collect():
+        (found,) = warc.parse(bytes(r.x))
+        assert found["headers"]["warc-type"] == r.warc_type and found["headers"]["warc-target-uri"] == "http://x/%0D%0AWARC-Type: evil%0D%0A%0D%0Ax" and found["headers"]["warc-date"] == "2024-01-02T03:04:05Z"
+        assert r.warc_type != "metadata" or found["block"].count(b"\r\n") == 6
+
+
+def test_compressed_files(spark, sf):
+    source = warc.responses(queries.read(spark, sf, "pages").limit(9), key="page_id")
+    parts = [bytes(r.x) for r in source.select(warc.serialised(source).alias("x")).collect()]
+    packed = b"".join(gzip.compress(x) for x in parts)
+    assert list(warc.parse(packed)) == list(warc.parse(b"".join(parts))) and len(list(warc.parse(packed))) == 9
+    for bad in (packed[:-5], b"".join(parts)[:-3], b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
+
+
 def test_odd_rows(spark):
     """Nulls, empty pages, copies, clashing columns, other kinds, bytes that are no text, no rows."""
     df = spark.createDataFrame([(1, None, None, "x"), (2, "", "u", "x"), (3, "<p>é &lt;b&gt;", None, "x"), (3, "<p>é &lt;b&gt;", None, "x")], "page_id long, html string, url string, record_id string")
