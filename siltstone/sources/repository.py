@@ -23,10 +23,12 @@ from siltstone import durable, model
 from siltstone.functions.binary import compress, decompress, decrypt, encrypt, hash_bytes, shake256, unpack_gzip
 from siltstone.operators import chunking, metadata, parity, snapshots, store, verify
 from siltstone.session import importable
-from siltstone.sources.files import BLOCK_BYTES, write_tree
+from siltstone.sources.files import BLOCK_BYTES, write_pieces, write_tree
 
 #: Fixed values of the key derivation.
 ROUNDS, DERIVED = 65_536, 64
+#: Of a pack file by default: one is a cell.
+PACK_BYTES = 256 << 20
 
 
 class Repository:
@@ -321,6 +323,40 @@ class Repository:
 
     # integrity
 
+    # packs
+
+    def packs(self, limit: int = PACK_BYTES, writers: int = 64) -> DataFrame:
+        """(pack, content, index): all stored chunks as pack and index files of at most so many bytes, to be kept or sent elsewhere.
+
+        Chunks are dealt to writers by their hashes; each fills its packs one after another, and none of them holds more than a pack.
+        """
+        dealt = self.data().withColumn("writer", F.pmod(F.xxhash64("hash"), F.lit(writers)))
+        places = store.assign_packs(self.chunks().select("hash", F.col("raw_len").alias("length"), F.pmod(F.xxhash64("hash"), F.lit(writers)).alias("writer")), ["hash"], "writer", limit)
+        places = places.select("hash", F.format_string("%04d-%06d", "writer", "pack").alias("pack"))
+        return store.encode_packs(dealt.select("hash", "data").join(places.hint("merge"), "hash"), order="hash")
+
+    def export_packs(self, folder: str, limit: int = PACK_BYTES, writers: int = 64) -> int:
+        """Writes them as packs/NAME.pack and indices/NAME.idx below a local folder, packs before indices; how many packs."""
+        made = durable.written(self.packs(limit, writers), "packs")
+        none, one = F.lit(None).cast("long"), F.lit(0).cast("long").alias("seq")
+        file = lambda sub, end, column: made.select(F.concat(F.lit(f"{sub}/"), "pack", F.lit(end)).alias("path"), none.alias("mode"), none.alias("mtime_ns"), one, F.col(column).alias("piece"))
+        n = write_pieces(file("packs", ".pack", "content"), folder)
+        write_pieces(file("indices", ".idx", "index"), folder)
+        return n
+
+    def import_packs(self, folder: str) -> DataFrame:
+        """Adds the chunks of pack files that indices name and that aren't there; gives the violations: blobs that no index names,
+        and entries whose blob isn't there or has another hash.  Recipes and names aren't part of packs."""
+        files = lambda sub, end: self.spark.read.format("binaryFile").option("pathGlobFilter", f"*{end}").load(f"{folder}/{sub}").select(F.regexp_extract("path", "([^/]*)[.][a-z]+$", 1).alias("pack"), "content")
+        blobs = store.read_packs(files("packs", ".pack")).withColumn("hash", hash_bytes("data"))
+        blobs = durable.written(blobs.withColumn("data", self._sealed(F.col("data"))), "blobs")
+        index = durable.written(store.read_index(files("indices", ".idx"), index="content"), "index")
+        sound = blobs.select("hash", self._opened(F.col("data")).alias("data")).join(index.select("hash").distinct(), "hash", "left_semi")
+        self.store_chunks(sound)
+        self._protect()
+        lost = index.select(F.col("pack_name").alias("pack"), "offset", "hash").join(blobs.select("pack", "offset", "hash"), ["pack", "offset", "hash"], "left_anti")
+        return verify.union(verify.orphans(blobs, index), lost.select(*verify.violation("missing", F.col("pack"), F.lower(F.hex("hash")))))
+
     def _files(self, content: bool) -> DataFrame:
         """The chunk table's files: file, and content if asked for."""
         found = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.path}/chunks")

@@ -209,6 +209,27 @@ def test_parity_with_commits(spark, tmp_path):
     assert b"".join(bytes(r.data) for r in back) == good
 
 
+@pytest.mark.parametrize("passphrase", [None, "s"])
+def test_packs_out_and_in(spark, tmp_path, passphrase):
+    """All chunks as pack and index files; what another repository takes from them, and what it says of broken ones."""
+    make_tree(tmp_path / "src")
+    repo = Repository.init(spark, str(tmp_path / "repo"), passphrase)
+    repo.backup("x", **tree(spark, tmp_path / "src"), bits=9, at=AT)
+    n = repo.export_packs(str(tmp_path / "p"), limit=31_000, writers=2)
+    files = sorted((tmp_path / "p/packs").glob("*.pack"))
+    assert n == len(files) == len(list((tmp_path / "p/indices").glob("*.idx"))) > 3 and all(f.stat().st_size <= 31_016 for f in files)
+    other = Repository.init(spark, str(tmp_path / "other"))
+    assert other.import_packs(str(tmp_path / "p")).count() == 0
+    data = lambda r: sorted((bytes(x.hash), bytes(x.data)) for x in r.data().collect())
+    assert data(other) == data(repo) and other.import_packs(str(tmp_path / "p")).count() == 0 and data(other) == data(repo)
+    good = files[0].read_bytes()
+    files[0].write_bytes(good[:-3] + b"???")
+    (tmp_path / "p/indices" / files[1].with_suffix(".idx").name).unlink()
+    third = Repository.init(spark, str(tmp_path / "third"))
+    found = [r.check for r in third.import_packs(str(tmp_path / "p")).collect()]
+    assert found.count("missing") == 1 and found.count("orphan") > 1 and len(data(third)) == len(data(repo)) - found.count("orphan")
+
+
 def test_streams_in_parts(spark, tmp_path):
     """Read and written a few blocks at a time, cut as a whole, also where cuts depend on what lies before."""
     repo = Repository.init(spark, str(tmp_path / "r"), "secret")
