@@ -115,3 +115,22 @@ ORACLES["op3_html"] = r"""WITH a AS (SELECT page_id, url, regexp_replace(regexp_
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM a),
 c AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM c"""
+
+#: Digests and lengths of the same records; the test pages have few kinds of references and of inline elements.
+ORACLES["op7_warc"] = r"""WITH a AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+  regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, html, regexp_replace(regexp_replace(regexp_replace(t, '<![^>]*>', '', 'g'), '</?[ab](\s[^>]*)?>', '', 'g'), '<[^>]*>', chr(1), 'g') AS t FROM a),
+c AS (SELECT page_id, url, html, replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·') AS t FROM b),
+d AS (SELECT page_id, url, html, coalesce(array_to_string(list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '') AS plain FROM c),
+e AS (SELECT *, 'sha256:' || sha256(html) AS payload_digest, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) AS source_headers FROM d),
+f AS (SELECT *, sha256(concat_ws(chr(10), 'response', CAST(page_id AS VARCHAR), url, payload_digest)) AS h FROM e),
+g AS (SELECT *, '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '>' AS refers_to FROM f),
+m AS (SELECT page_id, url, payload_digest, source_headers, refers_to, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'source-record-id: ' || refers_to || chr(13) || chr(10) || 'source-payload-digest: ' || payload_digest || chr(13) || chr(10) || 'source-uri: ' || url || chr(13) || chr(10) || source_headers AS block FROM g
+  UNION ALL SELECT page_id, url, payload_digest, source_headers, refers_to, 'conversion', 'text/plain; charset=utf-8', plain FROM g),
+n AS (SELECT *, sha256(warc_type || chr(10) || refers_to) AS h, 'sha256:' || sha256(block) AS block_digest FROM m),
+o AS (SELECT *, '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-8' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '>' AS record_id FROM n)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, payload_digest, block_digest, source_headers, CAST(strlen(block) AS BIGINT) AS content_length,
+  sha256(concat('WARC/1.1', x, 'WARC-Type: ', warc_type, x, 'WARC-Record-ID: ', record_id, x, 'WARC-Refers-To: ', refers_to, x, 'WARC-Target-URI: ', url, x, 'WARC-Date: 1970-01-01T00:00:00Z', x, 'WARC-Payload-Digest: ', payload_digest, x,
+    'WARC-Block-Digest: ', block_digest, x, 'Content-Type: ', content_type, x, 'Content-Length: ', strlen(block), x, x, block, x, x)) AS record_sha256
+FROM o, (SELECT chr(13) || chr(10) AS x)"""
