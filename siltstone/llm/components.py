@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +16,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """For every node of a link between different nodes: (node, component), component the smallest node it reaches.
 
     links: two columns of one integer type.  Null ends, links of a node to itself, repeated and reversed links are
-    allowed and change nothing; no links give no rows.  Every step keeps one row per link at most, sums before each
-    shuffle, and leaves hot nodes to adaptive skew joins; nothing but a count and a checksum comes to the driver.
-    The number of rounds grows with the logarithm of the longest path.
+    allowed and change nothing; no links give no rows.  Links are first reduced to forests, so many of a partition at a
+    time, without a shuffle.  Every step keeps one row per link at most, sums before each shuffle, and leaves hot nodes
+    to adaptive skew joins; nothing but a count and a checksum comes to the driver.  The number of rounds grows with the
+    logarithm of the longest path.
     """
-    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    kind = links.schema[a].dataType.simpleString()
+    ends = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").mapInArrow(_forests, f"a {kind}, b {kind}")
     edges = cut(ends.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     before = None
     while True:
@@ -30,6 +36,47 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+#: Links of a partition that are reduced together.
+AT_ONCE = 1 << 20
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            yield _forest(held)
+            held, n = [], 0
+    if held:
+        yield _forest(held)
+
+
+def _forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held)
+    found = forest(*(table.column(c).to_numpy() for c in ("a", "b")))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, table.schema, strict=True)], ["a", "b"])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between values: as few links that join the same values, each to the smallest of its group."""
+    nodes, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = back[: len(a)], back[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, label):
+            break
+        label = new
+    rest = label != np.arange(len(nodes))
+    return nodes[rest], nodes[label[rest]]
+
+
 def _least(edges: DataFrame, node: str) -> DataFrame:
     return edges.groupBy(F.col("hi").alias(node)).agg(F.min("lo").alias("least"))
 

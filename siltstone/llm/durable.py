@@ -9,13 +9,14 @@ from siltstone.session import importable
 
 __all__ = ["bounded", "cut", "folder", "scratch", "written"]
 
-#: Rows in one Arrow batch; texts may be long, and both sides hold whole batches.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch; texts may be long, and both sides hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """Lets Arrow batches hold few rows, unless the session asks for even fewer; lets workers import the library."""
+    """Lets Arrow batches hold little, unless the session asks for even less; lets workers import the library."""
     importable(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)

@@ -22,9 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.components import connected_components
+from siltstone.llm.components import connected_components, forest
 from siltstone.llm.durable import written
-from siltstone.llm.simhash import forest
 
 
 @dataclass(frozen=True)

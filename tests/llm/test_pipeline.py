@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import queries, rules, simhash
+from siltstone.llm import queries, rules
 from tests.llm.test_pii import plain
-from tests.llm.test_simhash import classes, plain_fingerprint
+from tests.llm.test_simhash import joined, shingles, similar_pairs
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -53,8 +53,13 @@ def test_classifier_keeps_clean_and_drops_junk(spark, stages):
 def test_one_document_of_each_class_stays(stages):
     _, docs, got = stages[2]
     before, after = texts(docs), texts(got)
-    want = classes([(i, plain_fingerprint(t)) for i, t in before.items()])
-    assert after == {i: before[i] for i, c in want.items() if i == c}
+    ids = sorted(before)
+    pairs = similar_pairs([shingles(before[i]) for i in ids])
+    label = joined(len(ids), pairs)
+    first = {ids[k]: ids[label[k]] for k in range(len(ids))}
+    # none goes without a similar one that stays, and hardly any similar one stays
+    assert after.items() <= before.items() and set(first.values()) <= after.keys()
+    assert len(after) - len(set(first.values())) <= 0.03 * (len(before) - len(set(first.values())))
 
 
 def test_personal_data_goes(stages):
@@ -95,8 +100,7 @@ def test_stages_on_odd_rows(spark, k):
     elif name == "quality_classifier":
         assert set(ids) >= {0, 4, 5}
     elif name == "near_dedup":
-        near = (plain_fingerprint(LONG) ^ plain_fingerprint(LONG + " a@b.c")).bit_count() <= 4
-        assert ids == ([0, 1, 4, 6] if near else [0, 1, 4, 5, 6])
+        assert ids == [0, 1, 4, 6]
     elif name == "personal_data":
         assert ids == [0, 1, 2, 4, 4, 5, 6] and [r.text for r in got if r.doc_id == 5] == [LONG + " [EMAIL]"]
         assert [r.text for r in got if r.doc_id == 1] == [None]

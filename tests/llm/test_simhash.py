@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 import xxhash
 
-from siltstone.llm import queries, simhash
+from siltstone.llm import components, queries, simhash
 from siltstone.llm.components import connected_components
 
 
@@ -106,7 +107,99 @@ def test_edges_of_the_input(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+def shingles(text, width=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def similar_pairs(sets, least=0.8):
+    """Brute force over all pairs with a shingle in common."""
+    holders, out = {}, set()
+    for k, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    for k, s in enumerate(sets):
+        for j in {j for g in s for j in holders[g] if j > k}:
+            if len(s & sets[j]) >= least * len(s | sets[j]) - 1e-9:
+                out.add((k, j))
+    return out
+
+
+def joined(n, pairs):
+    label = list(range(n))
+    for _ in range(n):
+        new = label[:]
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            return label
+        label = new
+
+
+def test_jaccard_forest_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 25))).astype(np.uint64) for _ in range(120)]
+    for k in range(100):
+        x = sets[k % 40].copy()
+        sets.append(np.unique(np.where(rng.random(len(x)) < 0.1, rng.integers(100, 400, len(x)), x)).astype(np.uint64))
+    for least in (0.5, 0.8, 1.0):
+        want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and len(sets[j]) and len(np.intersect1d(sets[i], sets[j])) >= least * len(np.union1d(sets[i], sets[j])) - 1e-9}
+        a, b = simhash.jaccard_forest(sets, least)
+        got = list(zip(a.tolist(), b.tolist()))
+        assert {(max(p), min(p)) for p in got} <= want and joined(len(sets), got) == joined(len(sets), want)
+
+
+def copies(seed, originals, each, change):
+    """Texts of 40 to 200 invented words, with copies of which some words are replaced."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(originals):
+        words = [f"w{v}" for v in rng.integers(0, 5000, rng.integers(40, 200))]
+        out.append(" ".join(words))
+        out += [" ".join(f"n{v}" if c < change * rng.random() else w for w, v, c in zip(words, rng.integers(0, 10**6, len(words)), rng.random(len(words)))) for _ in range(each)]
+    return out
+
+
+def check_similar(spark, texts, least):
+    """No wrong link; of the links at least so many; the same classes but for what these lose."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    pairs = similar_pairs([shingles(t) for t in texts])
+    want = joined(len(texts), pairs)
+    assert all(want[got[k]] == want[k] for k in got)
+    assert sum(got[a] == got[b] for a, b in pairs) >= least * len(pairs) > 0
+
+
+def test_similar_texts_of_the_test_table(spark):
+    texts = [r.text for r in queries.read(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    check_similar(spark, texts, 0.97)
+
+
+def test_similar_texts_at_the_border(spark):
+    check_similar(spark, copies(1, 150, 6, 0.05), 0.96)
+
+
+def test_large_groups_of_similar_texts(spark, monkeypatch):
+    """Groups far larger than an anchor's, a step's and a block's bounds."""
+    monkeypatch.setattr(simhash, "WIDE_PAIRS", 2000)
+    plain = simhash.wide_links, simhash.verified_links
+    monkeypatch.setattr(simhash, "wide_links", lambda nodes, wide: plain[0](nodes, wide, 60))
+    monkeypatch.setattr(simhash, "verified_links", lambda members, similarity, width: plain[1](members, similarity, width, block_bytes=20_000))
+    check_similar(spark, copies(2, 4, 250, 0.06), 0.97)
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_survivors(spark, monkeypatch, most):
+    """Nulls, blanks, copies, repeated ids, rows without an id, clashing columns, no rows."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, None, 1), (6, " ", 2), (8, "a b c", 4), (9, "A B\tC", 5), (None, "a b c", 6), (12, long, 1), (10, long + " x", 2), (11, long.replace("w30", "y"), 3), (13, "a b c", 1), (13, "a b c", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    assert sorted((r.doc_id or 0) for r in simhash.survivors(df).collect()) == [0, 5, 8, 10]
+    assert simhash.survivors(df.where("false")).count() == 0 and simhash.survivors(df).columns == df.columns
+
+
+def test_components_of_chains_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(components, "AT_ONCE", 10)
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 400)] + [(3, 3), (None, 4), (1, 2), (2, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in range(200, 400)} | {7: 7, 1: 1, 2: 1}
