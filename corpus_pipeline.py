@@ -29,25 +29,38 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: texts of which the five-word shingles are similar by 0.8 or more.
+
+    The smallest id of a class stays.  Null, empty and blank texts are one class; rows that repeat an id are one document;
+    rows without an id stay.
+    """
     durable.bounded(spark)
-    return simhash.survivors(docs).select(docs.columns)
+    return simhash.survivors(docs, similarity=0.8, width=5).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind for each span of personal data, and counts the characters anew."""
+    """Puts the kind for each span of personal data, and counts the characters anew.
+
+    Null texts stay null, with the count that they had; rows that repeat an id are redacted alike.  Texts and spans are
+    written once, as models and redaction both need the spans.
+    """
     durable.bounded(spark)
-    spans = pii.candidates(pii.base_spans(docs.withColumn("siltstone_text", F.col("text")), "siltstone_text", "siltstone_base"), "siltstone_text", "siltstone_candidates").drop("siltstone_text")
-    model = pii.fit(durable.written(spans.select("siltstone_base", "siltstone_candidates"), "candidates"), base="siltstone_base", proposed="siltstone_candidates")
+    own = docs.withColumn("siltstone_text", F.col("text"))
+    spans = pii.candidates(pii.base_spans(own, "siltstone_text", "siltstone_base"), "siltstone_text", "siltstone_candidates").drop("siltstone_text")
+    spans = durable.written(spans, "spans")
+    model = pii.fit(spans, base="siltstone_base", proposed="siltstone_candidates")
     chosen = pii.select(spans, model, "siltstone_spans", "siltstone_base", "siltstone_candidates")
     return pii.redact(chosen, "text", "siltstone_spans").withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens, with as few documents in each as can be.
+
+    Null and empty texts are the end id alone; rows that repeat an id are documents of their own.
+    """
     durable.bounded(spark)
     cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), tighten=True)
 
 
 STAGES = [
