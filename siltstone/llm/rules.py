@@ -12,10 +12,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -139,6 +138,10 @@ def _key(by: list[str]) -> Column:
     return F.to_json(F.struct(F.lit(len(by)).alias("level"), *(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(by))))
 
 
+def _lists(rows: Iterable[np.ndarray]) -> pa.Array:
+    return pa.array([r.tolist() for r in rows], pa.list_(pa.float64()))
+
+
 def fit_mcd(stats: DataFrame, names: list[str], by: list[str], floors: dict[str, float], share: float = 0.5, steps: int = 12, near: float = 0.975) -> DataFrame:
     """(group, n, mean, inverse) of every level's groups. stats: one row per document, without nulls in `names`.
 
@@ -154,53 +157,55 @@ def fit_mcd(stats: DataFrame, names: list[str], by: list[str], floors: dict[str,
     grow_near = near / chi2_share(cut, p + 2)
     schema = "group string, start int, n long, mean array<double>, inverse array<double>, size double"
 
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scales by the quartile range, and by the nearer quartile: outliers on one side can take the other."""
         for b in batches:
-            q = np.stack([np.stack(b[c].to_numpy()) for c in names], 1) if len(b) else np.zeros((0, p, 3))
+            q = np.array([b.column(c).to_pylist() for c in names], np.float64).reshape(p, -1, 3).transpose(1, 0, 2)
             low, high = q[:, :, 1] - q[:, :, 0], q[:, :, 2] - q[:, :, 1]
             for start, scale in enumerate([(low + high) / 1.349, 2 * np.minimum(low, high) / 1.349]):
                 inverse = [np.diag(1 / (s**2 + floor2)).ravel() for s in scale]
-                yield pd.DataFrame({"group": b["group"], "start": start, "n": b["n"], "mean": list(q[:, :, 1]), "inverse": inverse, "size": np.inf})
+                yield pa.RecordBatch.from_arrays([b.column("group"), pa.array([start] * len(q), pa.int32()), b.column("n"), _lists(q[:, :, 1]), _lists(inverse), pa.array([np.inf] * len(q))], ["group", "start", "n", "mean", "inverse", "size"])
 
-    model = written(quartiles.mapInPandas(begin, schema), "mcd-0")
+    model = written(quartiles.mapInArrow(begin, schema), "mcd-0")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     moments = [*(F.sum(c).alias(f"s{i}") for i, c in enumerate(names)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"c{i}_{j}") for i, j in pairs)]
 
-    def estimate(sums: pd.DataFrame, weight: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    def estimate(sums: pa.Table, weight: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Mean and scatter, with the floors, of weighted sums of moments."""
-        total = (sums["n"].to_numpy() * weight).sum()
-        m = sums[[f"s{i}" for i in range(p)]].to_numpy().T @ weight / total
-        cross = sums[[f"c{i}_{j}" for i, j in pairs]].to_numpy().T @ weight / total
+        held = lambda columns: np.array([sums.column(c).to_numpy() for c in columns])
+        total = (sums.column("n").to_numpy() * weight).sum()
+        m = held([f"s{i}" for i in range(p)]) @ weight / total
+        cross = held([f"c{i}_{j}" for i, j in pairs]) @ weight / total
         scatter = np.zeros((p, p))
         for (i, j), c in zip(pairs, cross, strict=True):
             scatter[i, j] = scatter[j, i] = c - m[i] * m[j]
         return m, scatter * factor + np.diag(floor2)
 
-    def concentrate(key: tuple, bands: pd.DataFrame) -> pd.DataFrame:
+    def concentrate(bands: pa.Table) -> pa.Table:
         """Moments of the bands nearest the centre that hold the wanted share of the group, the last of them in part."""
-        bands = bands.sort_values("band")
-        n = bands["n"].to_numpy()
+        bands = bands.sort_by("band")
+        n = bands.column("n").to_numpy()
         weight = np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0, 1)
         m, scatter = estimate(bands, weight, grow)
-        return pd.DataFrame({"group": [key[0]], "start": [key[1]], "n": [int(n.sum())], "mean": [m], "inverse": [np.linalg.inv(scatter).ravel()], "size": [np.linalg.slogdet(scatter)[1]]})
+        key = bands.select(["group", "start"]).slice(0, 1)
+        return pa.table({**{c: key.column(c) for c in ("group", "start")}, "n": pa.array([int(n.sum())]), "mean": _lists([m]), "inverse": _lists([np.linalg.inv(scatter).ravel()]), "size": pa.array([float(np.linalg.slogdet(scatter)[1])])})
 
-    def reweigh(key: tuple, sums: pd.DataFrame) -> pd.DataFrame:
+    def reweigh(sums: pa.Table) -> pa.Table:
         m, scatter = estimate(sums, np.ones(len(sums)), grow_near)
-        return pd.DataFrame({"group": [key[0]], "n": [int(sums["whole"].iloc[0])], "mean": [m], "inverse": [np.linalg.inv(scatter).ravel()]})
+        return pa.table({"group": sums.column("group").slice(0, 1), "n": sums.column("whole").slice(0, 1), "mean": _lists([m]), "inverse": _lists([np.linalg.inv(scatter).ravel()])})
 
     for k in range(steps):
         seen = rows.join(model.select("group", "start", "mean", "inverse"), "group")
         band = F.least(F.lit(BANDS - 1), F.greatest(F.lit(0), F.floor((F.log2(distance(names) + 1e-9) - BAND_LOW) * OCTAVE))).cast("int")
         sums = seen.groupBy("group", "start", band.alias("band")).agg(F.count("*").alias("n"), *moments)
-        former, model = model, written(sums.groupBy("group", "start").applyInPandas(concentrate, schema), f"mcd-{k + 1}")
+        former, model = model, written(sums.groupBy("group", "start").applyInArrow(concentrate, schema), f"mcd-{k + 1}")
         moved = model.join(former.select("group", "start", F.col("size").alias("former")), ["group", "start"]).where(F.abs(F.col("size") - F.col("former")) > 1e-3)
         if not moved.limit(1).count():
             break
     best = model.groupBy("group").agg(F.min_by(F.struct("n", "mean", "inverse"), F.struct("size", "start")).alias("best")).select("group", "best.*")
     seen = rows.join(best.withColumnRenamed("n", "whole"), "group").where(distance(names) <= cut)
     sums = seen.groupBy("group", "whole").agg(F.count("*").alias("n"), *moments)
-    return written(sums.groupBy("group").applyInPandas(reweigh, "group string, n long, mean array<double>, inverse array<double>"), "mcd")
+    return written(sums.groupBy("group").applyInArrow(reweigh, "group string, n long, mean array<double>, inverse array<double>"), "mcd")
 
 
 def drawn(model: DataFrame, levels: int, borrow: float) -> DataFrame:
@@ -209,16 +214,16 @@ def drawn(model: DataFrame, levels: int, borrow: float) -> DataFrame:
     schema = "group string, mean array<double>, inverse array<double>"
     names = ", ".join(["level int", *(f"k{i} string" for i in range(levels))])
 
-    def mix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             means, inverses = [], []
-            for n, m, v, m0, v0 in zip(b["n"], b["mean"], b["inverse"], b["mean0"], b["inverse0"], strict=True):
-                m, m0 = np.array(m), np.array(m0)
+            for n, *found in zip(*(b.column(c).to_pylist() for c in ("n", "mean", "inverse", "mean0", "inverse0")), strict=True):
+                m, v, m0, v0 = map(np.array, found)
                 w, p = n / (n + borrow), len(m)
                 own, other = (np.linalg.inv(np.reshape(x, (p, p))) for x in (v, v0))
                 means.append(w * m + (1 - w) * m0)
                 inverses.append(np.linalg.inv(w * own + (1 - w) * other + w * (1 - w) * np.outer(m - m0, m - m0)).ravel())
-            yield pd.DataFrame({"group": b["group"], "mean": means, "inverse": inverses})
+            yield pa.RecordBatch.from_arrays([b.column("group"), _lists(means), _lists(inverses)], ["group", "mean", "inverse"])
 
     at = lambda k: model.where(F.col("group").startswith(f'{{"level":{k}'))
     former, every = at(0).select("group", "mean", "inverse"), at(0).first()
@@ -230,7 +235,7 @@ def drawn(model: DataFrame, levels: int, borrow: float) -> DataFrame:
             part_of = F.to_json(F.struct(F.lit(k - 1).alias("level"), *(key[f"k{i}"].alias(f"k{i}") for i in range(k - 1))))
             of = former.select(F.col("group").alias("part_of"), F.col("mean").alias("mean0"), F.col("inverse").alias("inverse0"))
             met = at(k).withColumn("part_of", part_of).join(of, "part_of")
-        former = met.mapInPandas(mix, schema)
+        former = met.mapInArrow(mix, schema)
     return former
 
 
