@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from siltstone.model import SPLIT_BITS
+from siltstone.model import RS_DATA, RS_SHARD, SPLIT_BITS
 
 
 def parser() -> argparse.ArgumentParser:
@@ -60,19 +60,20 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("siltstone").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     out = sys.stdout.buffer
     if a.command.startswith("rs-"):
-        files = read_tree(spark, a.files).where("kind = 'file'").select(F.col("path").alias("file"), "content")
+        paths = read_tree(spark, a.files, content=False).where("kind = 'file' and size > 0").select("path")
+        cut = read_blocks(paths, a.files, RS_DATA * RS_SHARD).select(F.col("path").alias("file"), F.col("block_no").alias("seg"), "data")
         if a.command == "rs-encode":
-            parity.encode(files).write.parquet(a.parity)
+            parity.encode_segments(cut).write.parquet(a.parity)
             return 0
         table = spark.read.parquet(a.parity)
         if a.command == "rs-check":
-            bad = parity.check(files, table).collect()
+            bad = parity.check_segments(cut, table).collect()
             for r in bad:
                 print(f"{r.file}: {r.kind} segment {r.seg} shard {r.shard}", file=sys.stderr)
             return min(255, len(bad))
         os.makedirs(a.directory)
         none = F.lit(None).cast("long")
-        write_pieces(parity.restore(files, table).select(F.col("file").alias("path"), none.alias("mode"), none.alias("mtime_ns"), F.col("seg").alias("seq"), F.col("data").alias("piece")), a.directory)
+        write_pieces(parity.restore_segments(cut, table).select(F.col("file").alias("path"), none.alias("mode"), none.alias("mtime_ns"), F.col("seg").alias("seq"), F.col("data").alias("piece")), a.directory)
         return 0
     if not a.repository:
         raise SystemExit("no repository: give --repository or set SILTSTONE_DIR")

@@ -129,7 +129,12 @@ def layout(files: DataFrame, file: str, size: str, n_data: int = RS_DATA, hash_r
 
 
 def encode(files: DataFrame, file: str = "file", content: str = "content", n_data: int = RS_DATA, n_parity: int = RS_PARITY, hash_rate: int = RS_SHARD) -> DataFrame:
-    """(file, seg, hashes, parity) of every segment."""
+    """(file, seg, hashes, parity) of every segment of files that fit a cell."""
+    return encode_segments(segments(files, file, content, n_data, hash_rate), n_data, n_parity)
+
+
+def encode_segments(cut: DataFrame, n_data: int = RS_DATA, n_parity: int = RS_PARITY) -> DataFrame:
+    """The same of (file, seg, data), such as files of any size read in blocks of n_data * hash_rate bytes give."""
     generator(n_data, n_parity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,15 +142,16 @@ def encode(files: DataFrame, file: str = "file", content: str = "content", n_dat
             made = [encode_segment(x, n_data, n_parity) for x in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("seg"), *(pa.array([m[k] for m in made], pa.list_(pa.binary())) for k in (0, 1))], ["file", "seg", "hashes", "parity"])
 
-    return segments(files, file, content, n_data, hash_rate).mapInArrow(run, RS_SEGMENTS)
-
-
-def _joined(files: DataFrame, parity: DataFrame, file: str, content: str, n_data: int, hash_rate: int) -> DataFrame:
-    return segments(files, file, content, n_data, hash_rate).join(parity, ["file", "seg"], "full_outer")
+    return cut.select("file", "seg", "data").mapInArrow(run, RS_SEGMENTS)
 
 
 def check(files: DataFrame, parity: DataFrame, file: str = "file", content: str = "content", n_data: int = RS_DATA, hash_rate: int = RS_SHARD) -> DataFrame:
     """(file, seg, shard, kind): shards that don't have their hash, segments that only one side has (shard -1)."""
+    return check_segments(segments(files, file, content, n_data, hash_rate), parity, n_data)
+
+
+def check_segments(cut: DataFrame, parity: DataFrame, n_data: int = RS_DATA) -> DataFrame:
+    """The same of (file, seg, data)."""
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("seg", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("kind", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +165,7 @@ def check(files: DataFrame, parity: DataFrame, file: str = "file", content: str
                 out += [{"file": r["file"], "seg": r["seg"], "shard": k, "kind": "data" if k < n_data else "parity"} for k, s in enumerate(shards) if shake256(s.tobytes()) != r["hashes"][k]]
             yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("seg", pa.int64()), ("shard", pa.int32()), ("kind", pa.string())]))
 
-    return _joined(files, parity, file, content, n_data, hash_rate).mapInArrow(run, schema)
+    return cut.select("file", "seg", "data").join(parity, ["file", "seg"], "full_outer").mapInArrow(run, schema)
 
 
 def corrupt_shards(checked: DataFrame) -> DataFrame:
@@ -168,6 +174,11 @@ def corrupt_shards(checked: DataFrame) -> DataFrame:
 
 def restore(files: DataFrame, parity: DataFrame, file: str = "file", content: str = "content", n_data: int = RS_DATA, hash_rate: int = RS_SHARD) -> DataFrame:
     """(file, seg, data, hashes, parity, bad): segments and parity repaired, and the shards that were bad; raises beyond repair."""
+    return restore_segments(segments(files, file, content, n_data, hash_rate), parity, n_data)
+
+
+def restore_segments(cut: DataFrame, parity: DataFrame, n_data: int = RS_DATA) -> DataFrame:
+    """The same of (file, seg, data)."""
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("seg", T.LongType()), T.StructField("data", T.BinaryType()), RS_SEGMENTS["hashes"], RS_SEGMENTS["parity"], T.StructField("bad", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,4 +190,4 @@ def restore(files: DataFrame, parity: DataFrame, file: str = "file", content: st
             types = [("file", pa.string()), ("seg", pa.int64()), ("data", pa.binary()), ("hashes", pa.list_(pa.binary())), ("parity", pa.list_(pa.binary())), ("bad", pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_pylist(out, pa.schema(types))
 
-    return segments(files, file, content, n_data, hash_rate).join(parity, ["file", "seg"]).mapInArrow(run, schema)
+    return cut.select("file", "seg", "data").join(parity, ["file", "seg"]).mapInArrow(run, schema)

@@ -27,6 +27,8 @@ from siltstone.sources.files import BLOCK_BYTES, write_pieces, write_tree
 
 #: Fixed values of the key derivation.
 ROUNDS, DERIVED = 65_536, 64
+#: Binary literals of 16 bytes and more, as plans show them.
+LONG_BINARY = "(0x|X')[0-9A-Fa-f]{32,}"
 #: Of a pack file by default: one is a cell.
 PACK_BYTES = 256 << 20
 
@@ -39,6 +41,8 @@ class Repository:
         record = self.metadata().where("name = 'key'").select("data").first()
         if (record is None) != (passphrase is None):
             raise PermissionError("the repository is encrypted" if passphrase is None else "the repository isn't encrypted")
+        if record:  # the key is a literal in plans, which are shown in event logs and the user interface
+            spark.conf.set("spark.sql.redaction.string.regex", LONG_BINARY)
         self.key = self._unwrap(bytes(record.data).decode(), passphrase) if record else None
 
     # layout

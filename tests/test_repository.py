@@ -70,6 +70,9 @@ def test_backup_and_restore(spark, tmp_path, passphrase):
     assert repo.fsck().count() == 0
     opened = Repository(spark, str(tmp_path / "repo"), passphrase)
     assert opened.key == repo.key
+    if passphrase:  # plans are shown without the key
+        for shown in (opened.data()._sc._jvm.PythonSQLUtils.explainString(opened.data()._jdf.queryExecution(), m) for m in ("simple", "extended", "formatted")):
+            assert opened.key.hex() not in shown.lower() and "redacted" in shown
     with pytest.raises(PermissionError):
         Repository(spark, str(tmp_path / "repo"), "wrong" if passphrase else "any")
 
