@@ -71,9 +71,10 @@ class Block:
     link_chars: int
     heading: bool
     article: bool  #: in an article or main element
-    mark: str  #: why it may be page furniture: "element", "form", "name", or "" for no reason
+    mark: str  #: why it may be page furniture: "element", "form", "name", "header", or "" for no reason
     depth: int  #: of the container that holds it
     dip: int  #: depth of the smallest container that holds both it and the block before it
+    under: int = 0  #: of a block in a header: depth of the container that holds the header
     label: int = 0  #: 1 main text, -1 not, 0 undecided
 
 
@@ -91,7 +92,7 @@ def blocks(html: str) -> list[Block]:
     """The blocks of a page in page order; character references are decoded and white space is one space."""
     out: list[Block] = []
     stack: list[tuple[str, bool, str]] = []  # name, and what held before it: article, mark
-    article, mark, links, dip = False, "", 0, 0
+    article, mark, links, dip, under = False, "", 0, 0, 0
     parts: list[str] = []
     linked: list[str] = []
     heading = False
@@ -102,7 +103,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 link_chars = min(len(text), len(" ".join(unescape("".join(linked)).split())))
-                out.append(Block(text, link_chars, heading, article, mark, len(stack), min(dip, len(stack))))
+                out.append(Block(text, link_chars, heading, article, mark, len(stack), min(dip, len(stack)), under))
                 dip = len(stack)
             parts.clear()
             linked.clear()
@@ -145,6 +146,8 @@ def blocks(html: str) -> list[Block]:
                 mark = mark or "form"
             elif name in OUTSIDE or (name == "header" and top):
                 mark = "element"
+            elif name == "header" and not article and not mark:
+                mark, under = "header", len(stack) - 1
             elif name in INSIDE:
                 article = article or not mark
             elif name in NAMED and mark in ("", "form") and any(names_furniture(a[1] or a[2] or a[3] or "") for a in _ATTRIBUTE.finditer(rest)):
@@ -175,6 +178,16 @@ def first_pass(found: list[Block], stop_words: frozenset[str], short: int, long:
         if held >= long and not any(b.label == 1 for b in free) and held > 4 * size(b for b in free if b.label == 0):
             for b in found:
                 b.mark = "" if b.mark == reason else b.mark
+    # a header belongs to the text if its own container holds prose after it, as a page's header's doesn't
+    prose: list[int] = []  # depths of the containers, of those around a block, that directly hold some after it
+    for k in range(len(found) - 1, -1, -1):
+        while prose and k + 1 < len(found) and prose[-1] > found[k + 1].dip:
+            prose.pop()
+        b = found[k]
+        if b.mark == "header":
+            b.mark = "" if b.under in prose else b.mark
+        elif b.label == 1 and not b.mark and (not prose or prose[-1] < b.depth):
+            prose.append(b.depth)
     for b in found:
         if b.mark:
             b.label = -1

@@ -57,6 +57,16 @@ def test_text_outside_of_articles():
     assert html.extract(f"<div>{f'<p>{LONG}</p>' * 3}</div><article>A teaser</article>").startswith(" ".join([LONG.strip()] * 3))
 
 
+def test_headers():
+    """Of the page, or of the text: those whose container goes on with prose stay, whatever holds both."""
+    story = f"<p>{LONG}</p><p>{LONG}</p>"
+    page = f"<body><div id=page><header><div><h1>The Site</h1></div><p>All the news of it</p></header><div class=content><div><header><h2>On rivers</h2></header>{story}</div></div></div></body>"
+    assert html.extract(page) == f"On rivers {LONG.strip()} {LONG.strip()}"
+    assert html.extract(f"<header><h1>The Site</h1></header>{story}") == f"{LONG.strip()} {LONG.strip()}"
+    assert html.extract(f"<header><h1>The Site</h1></header><article><header><h1>On rivers</h1></header>{story}</article>") == f"On rivers {LONG.strip()} {LONG.strip()}"
+    assert html.extract("<div>" + "<header>x</header>" * 20_000 + "</div>" + "<div><header>" * 2000 + "x") == ""
+
+
 def test_languages_without_stop_words():
     text = "\u6cb3\u6d41\u5411\u6d77\u3002" * 40
     assert html.extract(f"<nav><a href=/>{text}</a></nav><div><h1>{text[:5]}</h1><p>{text}</p></div><footer>{text}</footer>") == f"{text[:5]} {text}"
