@@ -81,6 +81,8 @@ class Table:
 class Bpe:
     """Tables of one vocabulary file (the `tokenizers` JSON layout) and the encoding of single words."""
 
+    most_words = CACHE_WORDS
+
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
@@ -328,7 +330,7 @@ class Bpe:
 
     def encode_split(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of documents given as words, and how many each has."""
-        if len(self.known.numbers) > CACHE_WORDS:
+        if len(self.known.numbers) > self.most_words:
             self.forget()
         flat, ends = self.known.look_up(list(chain.from_iterable(docs)), self.code)
         return flat, np.diff(ends[np.cumsum([0, *map(len, docs)])])
@@ -438,7 +440,7 @@ class WordLevel(Bpe):
         """The words here are what white space parts; each is split further by the pattern."""
         find = self.WORDS.findall
         split = [[w] if w.isalpha() else find(w) for w in words]
-        if len(self.parts.numbers) > CACHE_WORDS:
+        if len(self.parts.numbers) > self.most_words:
             self.parts = Runs()
         flat, ends = self.parts.look_up(list(chain.from_iterable(split)), super().code)
         bounds = ends[np.cumsum([0, *map(len, split)])]
@@ -476,12 +478,13 @@ def tidy() -> None:
 
 
 @contextlib.contextmanager
-def loaded(kind: type, path: str) -> Iterator[Bpe]:
-    """The vocabulary's tables for one task; the words that it has seen are forgotten after it.
+def loaded(kind: type, path: str, words: int = CACHE_WORDS) -> Iterator[Bpe]:
+    """The vocabulary's tables for one task; the words that it has seen, so many at a time, are forgotten after it.
 
     Coding makes no cycles, but many small lists beside large tables, which the collector would go through in vain.
     """
     bpe, collects = load(kind, path), gc.isenabled()
+    bpe.most_words = words
     gc.disable()
     try:
         yield bpe

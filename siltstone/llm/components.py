@@ -30,7 +30,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if (now.n, now.s) == before or not now.n:
             break
         before = now.n, now.s
-        edges = cut(_small_star(_large_star(edges)))
+        small = now.n <= BROADCAST_ROWS
+        edges = cut(_small_star(_large_star(edges, small), small))
     return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")).unionByName(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
@@ -77,21 +78,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-def _least(edges: DataFrame, node: str) -> DataFrame:
-    return edges.groupBy(F.col("hi").alias(node)).agg(F.min("lo").alias("least"))
+#: Links up to which what is smallest at each node, two numbers a row and no more rows than links, is broadcast.
+BROADCAST_ROWS = 500_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, node: str, small: bool) -> DataFrame:
+    least = edges.groupBy(F.col("hi").alias(node)).agg(F.min("lo").alias("least"))
+    return F.broadcast(least) if small else least
+
+
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     """Each link's smaller end gives way to the smallest node next to it."""
     return (
-        edges.join(_least(edges, "lo"), "lo", "left")
+        edges.join(_least(edges, "lo", small), "lo", "left")
         .select("hi", F.coalesce("least", "lo").alias("lo"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node and its smaller neighbours are tied to the smallest of them."""
-    least = _least(edges, "hi")
+    least = _least(edges, "hi", small)
     others = edges.join(least, "hi").where("lo <> least").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return others.unionByName(least.select("hi", F.col("least").alias("lo"))).distinct()

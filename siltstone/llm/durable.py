@@ -10,7 +10,7 @@ from siltstone.session import importable
 __all__ = ["bounded", "cut", "folder", "scratch", "written"]
 
 #: Rows and bytes in one Arrow batch; texts may be long, and both sides hold whole batches.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded(spark: SparkSession) -> SparkSession:

@@ -18,16 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.bpe import WordLevel, loaded, slices
+from siltstone.llm.bpe import CACHE_WORDS, WordLevel, loaded, slices
 from siltstone.llm.durable import written
 
 
-def pieces(df: DataFrame, path: str, text: str = "text", size: int = 4096, end: int = 1, kind: type = WordLevel) -> DataFrame:
+def pieces(df: DataFrame, path: str, text: str = "text", size: int = 4096, end: int = 1, kind: type = WordLevel, words: int = CACHE_WORDS, step: int = 2 << 20) -> DataFrame:
     """A row per piece of every text, with the columns of the input but the text, and piece, start, length, ids.
 
     A text's ids are followed by the end id; only longer ones are cut, into pieces of `size`, of which the last may
     be shorter.  ids are unsigned little-endian 32-bit numbers.  Null and empty texts are the end id alone.
-    Columns of the added names are replaced.
+    Columns of the added names are replaced.  words, step: how many words a task remembers, and how many bytes of texts it
+    codes at once: what memory it takes, not what comes out.
     """
     added = [T.StructField("piece", T.IntegerType(), False), T.StructField("start", T.LongType(), False), T.StructField("length", T.LongType(), False), T.StructField("ids", T.BinaryType(), False)]
     kept = [f for f in df.schema.fields if f.name != text and f.name not in {a.name for a in added}]
@@ -35,8 +36,8 @@ def pieces(df: DataFrame, path: str, text: str = "text", size: int = 4096, end:
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with loaded(kind, path) as bpe:
-            for b in slices(batches, text):
+        with loaded(kind, path, words) as bpe:
+            for b in slices(batches, text, step):
                 flat, sizes = bpe.encode(b.column(text).to_pylist())
                 n = np.asarray(sizes) + 1
                 ends = np.cumsum(n)

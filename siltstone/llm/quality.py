@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 x = features.rows(part.column("text").to_pylist())
@@ -182,9 +182,9 @@ def scores(docs: DataFrame, model: Model, text: str = "text", out: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, voters = Features(), shared.value
-        for b in slices(batches, text):
+        for b in slices(batches, text, 1 << 19):
             texts = b.column(text).to_pylist()
-            found = [voters.score(features.rows(texts[k : k + 256])) for k in range(0, len(texts), 256)]
+            found = [voters.score(features.rows(texts[k : k + 128])) for k in range(0, len(texts), 128)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*found, np.zeros(0)]), pa.float64())], schema.names)
         del features
         tidy()

@@ -71,7 +71,7 @@ def statistics(df: DataFrame, text: str = "text") -> DataFrame:
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType(), False) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, 1 << 19):
             rows = np.array([counts(t) for t in b.column(text).to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, rows.T.copy())], schema.names)
         tidy()

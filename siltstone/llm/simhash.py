@@ -477,7 +477,8 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
 
 
 def verified_links(members: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """Links (a, b) of nodes of one group whose texts' sets of shingles are similar: enough of them to join what any join.
+    """Links (a, b, whole) of nodes of one group whose texts' sets of shingles are similar: enough of them to join what any join.
+    whole: the group was in one block, and b is the smallest node that a reaches.
 
     members: (group, node, size, text), one row for each node; size: the bytes that its group's sets take in all.  A group
     whose sets don't fit a block is cut into blocks, which meet in pairs; so no group has to fit a task.  A text without
@@ -485,7 +486,7 @@ def verified_links(members: DataFrame, similarity: float = 0.8, width: int = 5,
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, 1 << 19):
             found = [np.unique(shingle_hashes(t, width)).tobytes() for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("group", "node", "size")), pa.array(found, pa.binary())], ["group", "node", "size", "shingles"])
         tidy()
@@ -493,37 +494,36 @@ def verified_links(members: DataFrame, similarity: float = 0.8, width: int = 5,
     table = written(members.select("group", "node", "size", text).mapInArrow(sets, "group long, node long, size long, shingles binary"), "shingles")
     own = table.withColumn("cuts", F.expr(f"cast(1 + size div {block_bytes} as int)")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    dealt = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "shingles")
+    dealt = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "cuts", "node", "shingles")
     dealt = dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held = None, [], []
+        at, whole, ids, held = None, True, [], []
         for b in batches:
-            a: list[np.ndarray] = []
-            z: list[np.ndarray] = []
-            rows = zip(*(b.column(c).to_pylist() for c in ("group", "low", "high", "node", "shingles")), strict=True)
-            for group, low, high, node, raw in rows:
+            out: list[tuple[np.ndarray, np.ndarray, bool]] = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("group", "low", "high", "cuts", "node", "shingles")), strict=True)
+            for group, low, high, cuts, node, raw in rows:
                 if (group, low, high) != at:
-                    join(ids, held, a, z)
-                    at, ids, held = (group, low, high), [], []
+                    join(ids, held, whole, out)
+                    at, whole, ids, held = (group, low, high), cuts == 1, [], []
                 ids.append(node)
                 held.append(np.frombuffer(raw, np.uint64))
-            yield said(a, z)
-        a, z = [], []
-        join(ids, held, a, z)
-        yield said(a, z)
+            yield said(out)
+        out = []
+        join(ids, held, whole, out)
+        yield said(out)
         tidy()
 
-    def join(ids: list[int], held: list[np.ndarray], a: list[np.ndarray], z: list[np.ndarray]) -> None:
-        i, j = jaccard_forest(held, similarity)
+    def join(ids: list[int], held: list[np.ndarray], whole: bool, out: list[tuple[np.ndarray, np.ndarray, bool]]) -> None:
         numbers = np.array(ids, np.int64)
-        a.append(numbers[i])
-        z.append(numbers[j])
+        i, j = jaccard_forest(held, similarity)
+        out.append((*forest(numbers[i], numbers[j]), whole))
 
-    def said(a: list[np.ndarray], z: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (a, z)], ["a", "b"])
+    def said(out: list[tuple[np.ndarray, np.ndarray, bool]]) -> pa.RecordBatch:
+        pairs = [pa.array(np.concatenate([*(o[k] for o in out), np.zeros(0, np.int64)])) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*pairs, pa.array(np.repeat([o[2] for o in out], [len(o[0]) for o in out]).astype(bool))], ["a", "b", "whole"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long, whole boolean")
 
 
 #: Rows of numbers that are broadcast at most: some 40 MB.
@@ -548,7 +548,7 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     wide = Wide.of(rows.count(), similarity, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             hashes = [np.unique(shingle_hashes(t, width)) for t in b.column("text").to_pylist()]
             lanes = [wide_fingerprint(h, wide.lanes).view(np.int64) for h in hashes]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array([len(h) for h in hashes], pa.int64()), pa.array(lanes, pa.list_(pa.int64()))], ["id", "key", "n", "lanes"])
@@ -565,7 +565,10 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity:
     told = written(members.join(sizes, "group").select("group", "node", "key", "size"), "candidates")
     # texts stay where they are as long as the candidates are few enough to go to them
     texts = rows.select("key", "text").join(_checked(told), "key")
-    joined = connected_components(verified_links(texts, similarity, width))
+    found = written(verified_links(texts, similarity, width), "verified-links")
+    # classes of groups in one block are settled; those of groups in several are put together
+    done = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    joined = done.unionByName(connected_components(found.where("not whole").select("a", "b")))
     roots = nodes.join(joined, "node", "left").select("lanes", F.col("first.id").alias("first"), F.coalesce("component", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = written(roots.join(least, "root").select("lanes", "component_id"), "classes")
