@@ -59,7 +59,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are the end id alone; rows that repeat an id are documents of their own.
     """
     durable.bounded(spark)
-    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    # executors have held four stages' memory by now: half as many words are remembered as in the query by itself
+    cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), words=150_000, step=512 << 10)
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), tighten=True)
 
 
