@@ -13,10 +13,10 @@ __all__ = ["bounded", "cut", "folder", "scratch", "written"]
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """Lets Arrow batches hold little, unless the session asks for even less; lets workers import the library."""
+def bounded(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> SparkSession:
+    """Lets Arrow batches hold little, unless the session asks for fewer rows yet; lets workers import the library."""
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{batch_bytes}b")
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)

@@ -201,7 +201,6 @@ def test_survivors(spark, monkeypatch, most):
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_components_of_chains_and_stars(spark, monkeypatch, broadcast):
     monkeypatch.setattr(components, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(components, "AT_ONCE", 10)
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 400)] + [(3, 3), (None, 4), (1, 2), (2, 1)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 100 for k in range(100, 161)} | {k: 7 for k in range(200, 400)} | {7: 7, 1: 1, 2: 1}
