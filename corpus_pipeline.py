@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from siltstone.llm import durable, packing, pii, quality, rules, simhash
 
 
+#: Of an Arrow batch: executors hold what all stages have left behind, so the stages move less at a time than the queries.
+BATCH_BYTES = 1 << 20
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base limits or are outliers of their language and source (null texts fail)."""
-    durable.bounded(spark)
+    durable.bounded(spark, BATCH_BYTES)
     return rules.judge(rules.statistics(docs)).where("kept").select(docs.columns)
 
 
@@ -21,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The labelled rows, at most `per_class` of each label, are taken from all documents: the former stage has taken
     away much of what is labelled bad.  Without any labels nothing is rejected.
     """
-    durable.bounded(spark)
+    durable.bounded(spark, BATCH_BYTES)
     model = quality.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if not len(model.labels):
         return docs
@@ -34,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The smallest id of a class stays.  Null, empty and blank texts are one class; rows that repeat an id are one document;
     rows without an id stay.
     """
-    durable.bounded(spark)
+    durable.bounded(spark, BATCH_BYTES)
     return simhash.survivors(docs, similarity=0.8, width=5).select(docs.columns)
 
 
@@ -44,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts stay null, with the count that they had; rows that repeat an id are redacted alike.  Texts and spans are
     written once, as models and redaction both need the spans.
     """
-    durable.bounded(spark)
+    durable.bounded(spark, BATCH_BYTES)
     own = docs.withColumn("siltstone_text", F.col("text"))
     spans = pii.candidates(pii.base_spans(own, "siltstone_text", "siltstone_base"), "siltstone_text", "siltstone_candidates").drop("siltstone_text")
     spans = durable.written(spans, "spans")
@@ -58,7 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are the end id alone; rows that repeat an id are documents of their own.
     """
-    durable.bounded(spark)
+    durable.bounded(spark, BATCH_BYTES)
     # executors have held four stages' memory by now: half as many words are remembered as in the query by itself
     cut = packing.pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), words=150_000, step=512 << 10)
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), tighten=True)
