@@ -427,6 +427,7 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     """Links between numbers of sets (arrays of distinct values): enough to join all whose Jaccard similarity is so much or more.
 
     Two such sets have one of their rarest values in common: of all but that share of the smaller one's values, and one more.
+    Where many sets share these, bitmaps of all values tell most of the others apart: no more of their bits differ than values do.
     """
     none = np.zeros(0, np.int64)
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -444,23 +445,39 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     inside = np.arange(len(value)) - starts[owner] < prefix[owner]
     by_value = np.argsort(value[inside], kind="stable")
     holder, first = owner[inside][by_value], np.searchsorted(value[inside][by_value], np.arange(len(often) + 1))
-    del by_value, inside, owner
+    del by_value, inside
+    # about eight bits for each value, 1,024 at most
+    words = 1 << min(4, max(0, int(sizes.mean() / 8).bit_length() - 1))
+    bits = np.zeros(len(sets) * words, np.uint64)
+    for k in range(0, len(value), 1 << 18):
+        v = value[k : k + (1 << 18)].astype(np.uint64)
+        at = owner[k : k + (1 << 18)].astype(np.int64) * words + ((v >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << (v & np.uint64(63)))
+    bits = bits.reshape(-1, words)
+    del owner
 
     def ragged(start: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
     left, mark = sizes > 0, np.zeros(len(often), bool)
+    rest, apart = int(left.sum()), (1 - similarity) / (1 + similarity)
     child, parent = [], []
     for root in range(len(sets)):
         if not left[root]:
             continue
-        left[root], front = False, [root]
-        while front:
+        left[root], front, rest = False, [root], rest - 1
+        while front and rest:
             f = front.pop()
             rare = value[starts[f] : starts[f] + prefix[f]]
-            met = np.unique(holder[ragged(first[rare], first[rare + 1] - first[rare])])
-            met = met[left[met]]
+            often_met = first[rare + 1] - first[rare]
+            if often_met.sum() < rest:
+                met = holder[ragged(first[rare], often_met)]
+                met = np.unique(met[left[met]])
+            else:
+                met = np.flatnonzero(left)
             met = met[np.minimum(sizes[met], sizes[f]) >= similarity * np.maximum(sizes[met], sizes[f]) - 1e-9]
+            differ = np.bitwise_count(bits[met] ^ bits[f]).sum(axis=1, dtype=np.int64)
+            met = met[differ <= apart * (sizes[met] + sizes[f]) + 1e-6]
             if not len(met):
                 continue
             own = value[starts[f] : starts[f] + sizes[f]]
@@ -469,7 +486,7 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
             common = np.add.reduceat(mark[value[ragged(starts[met], n)]], np.cumsum(n) - n, dtype=np.int64)
             mark[own] = False
             hit = met[common >= similarity * (sizes[f] + n - common) - 1e-9]
-            left[hit] = False
+            left[hit], rest = False, rest - len(hit)
             child.append(hit)
             parent.append(np.full(len(hit), f))
             front += hit.tolist()

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 import xxhash
@@ -149,6 +151,27 @@ def test_jaccard_forest_equals_all_pairs():
         assert {(max(p), min(p)) for p in got} <= want and joined(len(sets), got) == joined(len(sets), want)
 
 
+def test_jaccard_forest_of_many_sets_just_below_the_bound():
+    """Sets of one family that mostly aren't similar enough: all true links, without going through all values of all pairs."""
+    rng, n, size = np.random.default_rng(5), 3000, 178
+    base, sets = rng.integers(0, 2**63, size, dtype=np.uint64), []
+    for k in range(n):
+        x = base.copy()
+        at = rng.choice(size, 8 if k % 100 == 0 else 20, replace=False)
+        x[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(x))
+    held = np.stack([np.isin(base, x) for x in sets]).astype(np.float32)  # what is put in is in one set only
+    common = held @ held.T
+    of = np.array([len(x) for x in sets])
+    want = list(zip(*(x.tolist() for x in np.nonzero(np.triu(common >= 0.8 * (of[:, None] + of[None, :] - common) - 1e-6, 1)))))
+    began = time.process_time()
+    a, b = simhash.jaccard_forest(sets, 0.8)
+    took = time.process_time() - began
+    got = list(zip(a.tolist(), b.tolist()))
+    assert {(min(p), max(p)) for p in got} <= set(want) and len(want) > 20 and joined(n, got) == joined(n, want)
+    assert took < 2.5  # 5 seconds and more if the values of all pairs are gone through
+
+
 def copies(seed, originals, each, change):
     """Texts of 40 to 200 invented words, with copies of which some words are replaced."""
     rng, out = np.random.default_rng(seed), []
